@@ -6,9 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing
-from .common import table
+from . import media, packing, sharding, warc
+from .common import fresh_path, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in two lots, each is compacted, and the newest version is read back."""
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
+    docs = table(spark, sf_dir, "documents")
+    late = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8)) == 7
+    for part in (~late, late):
+        store.append(docs.filter(part))
+        store.compact()
+        store.vacuum(keep=1)
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"), "lang", "source", "n_chars")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +38,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op3_sharding": op3_sharding,
     "op4_media": op4_media,
     "op7_packing": op7_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        q AS (SELECT page_id, d, n, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS f FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN f <> page_id THEN f END AS refers_to
+        FROM q""",
+    "op3_sharding": """
+        SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+               md5(coalesce(text, '')) AS text_md5, lang, source, n_chars
+        FROM documents""",
+}
