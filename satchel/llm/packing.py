@@ -10,6 +10,8 @@ fit, again a pattern at a time. Pieces then get their place by rank within their
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -26,41 +28,74 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; a bound on memory only.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 #: Pieces of one length that are numbered in one group, about.
 RUN = 500
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def _latin_pattern() -> re.Pattern:
+    """The tokenizer's own splitting pattern, with its Unicode classes written out for characters below LATIN."""
+    kinds = {"L": "", "N": "", " ": ""}
+    for c in map(chr, range(LATIN)):
+        kind = " " if c in "\t\n\v\f\r \x85\xa0" else unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds[' ']}{kinds['L']}{kinds['N']}]+")
+
 
-    return Tokenizer.from_file(path)
+#: Below this, normalisation is lower-casing alone; texts with other characters, or those below, go to the tokenizer whole.
+LATIN = 0x250
+_WORDS = _latin_pattern()
+_OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]|<\\|")
 
 
 class WordEncoder:
-    """Token ids of whole texts through a cache of their space-separated chunks.
+    """Token ids of whole texts through a cache of the words that the tokenizer splits them into.
 
-    The tokenizer's normaliser works on single characters and combining sequences, and its splitter drops white space,
-    so no token crosses a space or line feed and the ids of a text are those of its chunks in a row.
+    No token crosses such a word, so the ids of a text are those of its words in a row. The cache has two generations:
+    a full young one becomes the old one, and what is met again moves back, so common words stay and rare ones go.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.young) + len(words) > WORDS_KEPT:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for w in words:
+            got = self.old.get(w)
+            if got is None:
+                fresh.append(w)
+            else:
+                self.young[w] = got
+        for k in range(0, len(fresh), 20_000):
+            self.young.update(zip(fresh[k : k + 20_000], self._ids(fresh[k : k + 20_000]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(fresh) > WORDS_KEPT:
-            known.clear()
-            fresh = list({w for ws in split for w in ws})
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
+        split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        words = {w for ws in split if ws for w in ws}
+        fresh = words.difference(self.young)
+        if len(self.young) + len(fresh) > WORDS_KEPT:
+            fresh = words
+        if fresh:
+            self._learn(fresh)
+        known = self.young.__getitem__
+        rest = iter(self._ids([t for t, ws in zip(texts, split, strict=True) if ws is None]))
+        return [np.frombuffer(next(rest) if ws is None else b"".join(map(known, ws)), "<u4") for ws in split]
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, kept from task to task."""
+    return WordEncoder(path)
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -70,16 +105,15 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
-    state: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = state.get("encoder") or state.setdefault("encoder", WordEncoder(tokenizer_path))
+        words = encoder(tokenizer_path)
         end = np.array([end_id], "<u4")
         rows: list[tuple] = []
         ids = batch.column(0).to_pylist()
         texts = [x.decode() for x in as_bytes(batch.column(1))]
         for lo in range(0, len(texts), 256):
-            for doc_id, got in zip(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), strict=True):
+            for doc_id, got in zip(ids[lo : lo + 256], words.encode(texts[lo : lo + 256]), strict=True):
                 got = np.concatenate([got, end])
                 for piece, start in enumerate(range(0, len(got), capacity)):
                     part = got[start : start + capacity]
