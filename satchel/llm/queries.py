@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, sharding, warc
+from . import licenses, media, packing, sharding, toxicity, warc
 from .common import fresh_path, table
 
 
@@ -41,12 +41,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("held_out", toxicity.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_media": op4_media,
     "op7_packing": op7_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {
