@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, sharding, toxicity, warc
+from . import licenses, media, packing, sharding, simhash, toxicity, warc
 from .common import fresh_path, table
 
 
@@ -37,6 +37,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_media": op4_media,
+    "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
 }
