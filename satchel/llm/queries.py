@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, packing, sharding, simhash, toxicity, warc
+from . import decontaminate, licenses, media, packing, secrets, sharding, simhash, toxicity, warc
 from .common import fresh_path, table
 
 
@@ -41,6 +41,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), path_col="source")
+    return found.withColumn("secret", F.sha2("secret", 256))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_media": op4_media,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op7_packing": op7_packing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
