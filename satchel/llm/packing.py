@@ -27,8 +27,8 @@ from .common import as_bytes, batch_of, keyed, map_batches, stored
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; a bound on memory only.
-WORDS_KEPT = 600_000
+#: Chunks and words whose ids a worker keeps in either of two generations; a bound on memory only.
+CHUNKS_KEPT, WORDS_KEPT = 200_000, 250_000
 #: Pieces of one length that are numbered in one group, about.
 RUN = 500
 
@@ -49,47 +49,58 @@ _WORDS = _latin_pattern()
 _OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]|<\\|")
 
 
+class Kept:
+    """A bounded cache of two generations: a full young one becomes the old one, and what is met again moves back."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Make room for keys, move those of the old generation back, and tell which are in neither."""
+        fresh = keys.difference(self.young)
+        if len(self.young) + len(fresh) > self.most:
+            self.old, self.young, fresh = self.young, {}, keys
+        out = []
+        for k in fresh:
+            got = self.old.get(k)
+            if got is None:
+                out.append(k)
+            else:
+                self.young[k] = got
+        return out
+
+
 class WordEncoder:
-    """Token ids of whole texts through a cache of the words that the tokenizer splits them into.
+    """Token ids of whole texts through caches of their space-separated chunks and of the words that these consist of.
 
-    No token crosses such a word, so the ids of a text are those of its words in a row. The cache has two generations:
-    a full young one becomes the old one, and what is met again moves back, so common words stay and rare ones go.
+    The tokenizer drops white space and no token crosses a word of its splitting pattern, so the ids of a text are those
+    of its words in a row.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks, self.words = Kept(CHUNKS_KEPT), Kept(WORDS_KEPT)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > WORDS_KEPT:
-            self.old, self.young = self.young, {}
-        fresh = []
-        for w in words:
-            got = self.old.get(w)
-            if got is None:
-                fresh.append(w)
-            else:
-                self.young[w] = got
-        for k in range(0, len(fresh), 20_000):
-            self.young.update(zip(fresh[k : k + 20_000], self._ids(fresh[k : k + 20_000]), strict=True))
+    def _learn(self, chunks: list[str]) -> None:
+        parts = list(map(_WORDS.findall, chunks))
+        fresh = self.words.lacking({w for p in parts for w in p})
+        self.words.young.update(zip(fresh, self._ids(fresh), strict=True))
+        known = self.words.young.__getitem__
+        self.chunks.young.update((c, b"".join(map(known, p))) for c, p in zip(chunks, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
-        words = {w for ws in split if ws for w in ws}
-        fresh = words.difference(self.young)
-        if len(self.young) + len(fresh) > WORDS_KEPT:
-            fresh = words
+        split = [None if _OTHER.search(t) else t.lower().replace("\n", " ").split(" ") for t in texts]
+        fresh = self.chunks.lacking(set().union(*(x for x in split if x)))
         if fresh:
             self._learn(fresh)
-        known = self.young.__getitem__
-        rest = iter(self._ids([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        return [np.frombuffer(next(rest) if ws is None else b"".join(map(known, ws)), "<u4") for ws in split]
+        known = self.chunks.young.__getitem__
+        rest = iter(self._ids([t for t, x in zip(texts, split, strict=True) if x is None]))
+        return [np.frombuffer(next(rest) if x is None else b"".join(map(known, x)), "<u4") for x in split]
 
 
 @cache
@@ -112,8 +123,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         rows: list[tuple] = []
         ids = batch.column(0).to_pylist()
         texts = [x.decode() for x in as_bytes(batch.column(1))]
-        for lo in range(0, len(texts), 256):
-            for doc_id, got in zip(ids[lo : lo + 256], words.encode(texts[lo : lo + 256]), strict=True):
+        for lo in range(0, len(texts), 512):
+            for doc_id, got in zip(ids[lo : lo + 512], words.encode(texts[lo : lo + 512]), strict=True):
                 got = np.concatenate([got, end])
                 for piece, start in enumerate(range(0, len(got), capacity)):
                     part = got[start : start + capacity]
