@@ -28,7 +28,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words whose ids a worker keeps in either of two generations; a bound on memory only.
-CHUNKS_KEPT, WORDS_KEPT = 200_000, 250_000
+CHUNKS_KEPT, WORDS_KEPT = 150_000, 200_000
 #: Pieces of one length that are numbered in one group, about.
 RUN = 500
 

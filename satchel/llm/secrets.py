@@ -28,7 +28,7 @@ TEST_PATH = "(?i)(test|example|sample|mock|fixture|docs?/|spec)"
 
 #: Characters on either side that count as neighbours; trees, their depth, and the share of votes that makes a secret.
 NEIGHBOURS, TREES, DEPTH, LEAST = 32, 20, 6, 0.5
-#: Generated findings of either label, and the share of the most that their number may be.
+#: Generated findings of either label.
 FINDINGS = 1500
 FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_variety", "f_turns", "f_words", "f_known", "f_key", "f_other", "f_assigned", "f_quoted", "f_slash", "f_test_path")
 
@@ -154,13 +154,13 @@ def find_secrets(df: DataFrame, model: PipelineModel | None = None, id_col: str
 def redact(df: DataFrame, model: PipelineModel | None = None, text_col: str = "text", path_col: str | None = None, mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """df with every secret in its texts replaced by mark; length_col, where given, follows the new text. Rows all stay.
 
-    Rows without a candidate are passed on as they are. The others are matched to their findings by a digest of text and
+    Rows without a plausible candidate are passed on as they are. The others are matched to their findings by a digest of text and
     path, so null, repeated and clashing ids do no harm.
     """
     model = model or train(labelled_findings(df.sparkSession))
     names = df.columns
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    may = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    may = F.coalesce(F.exists(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike(PLAUSIBLE)), F.lit(False))
     some = df.filter(may).withColumn("_key", F.sha2(F.concat(path, F.lit("\n"), text_col), 256))
     texts = some.groupBy("_key").agg(F.first(text_col).alias("_t"), F.first(path).alias("_path"))
     scored = model.transform(with_features(_places(texts, "_key", "_t", "_path"))).filter(vector_to_array("_p")[1] >= LEAST)

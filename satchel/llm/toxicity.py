@@ -32,7 +32,7 @@ USUAL, USUAL_PURITY = 0.05, 0.97
 #: Tokens of a training sequence, sequences without any feature, steps of the fit, weight of its prior.
 SEGMENT, PLAIN_SEGMENTS, STEPS, PRIOR = 24, 2000, 120, 0.02
 #: Words whose score a worker keeps; a bound on memory only.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 
 _BREAK = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122 or c == 95))
 _SPACES = bytes.maketrans(_BREAK, b" " * len(_BREAK))
