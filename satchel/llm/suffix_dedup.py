@@ -26,8 +26,8 @@ from .common import as_bytes, batch_of, bound_batches, stored
 #: A repeated string has SPAN bytes; anchors have CORE. Symbols that one suffix array takes, about.
 SPAN, CORE = 200, 80
 SYMBOLS = 1 << 16
-#: Bytes of a text hashed at once (positions have 24 bits), and contexts of an anchor that one suffix array takes.
-SLICE, MANY = 1 << 22, 20_000
+#: Bytes of a text hashed at once (positions have 24 bits), and contexts that a task combines at once.
+SLICE, LOT = 1 << 22, 400_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -222,10 +222,32 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.reverse("text"))})
 
 
+_EMIT = "key long, late int, h long, c long, ka long, kb long, at int, n int, a int, whole boolean"
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of all texts of a task; equal texts of one task give theirs once."""
-    names, seen = ["h", "c", "ka", "kb", "at", "n", "a"], set()
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    """Contexts of all texts of a task; equal texts of one task give theirs once.
+
+    A context that a task meets twice is repeated, so its runs are told at once (late 0, dealt by text) and one row of it
+    goes on as repeated. What goes to an anchor's group is then one row for each different context and lot of a task.
+    """
+    names = [x.split()[0] for x in _EMIT.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+    seen: set[tuple[int, int]] = set()
+
+    def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x = [np.concatenate(y) for y in zip(*held, strict=True)]
+        order = np.lexsort((x[1], x[0]))
+        x = [y[order] for y in x]
+        first = np.flatnonzero(np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+        counts = np.diff(np.r_[first, len(order)])
+        again = np.flatnonzero(np.repeat(counts > 1, counts))
+        runs, one = [y[again] for y in x], [y[first] for y in x]
+        late = np.r_[np.zeros(len(again), np.int32), np.ones(len(first), np.int32)]
+        key = np.r_[runs[2] ^ runs[4].astype(np.int64), one[0]]
+        whole = np.r_[np.ones(len(again), bool), counts > 1]
+        return batch_of(names, [pa.array(y) for y in (key, late, *(np.concatenate(y) for y in zip(runs, one, strict=True)), whole)], types)
+
     for batch in batches:
         ka, kb, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
         held: list[tuple[np.ndarray, ...]] = []
@@ -239,8 +261,8 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c = np.array([xx(view[i:j], d) for i, j, d in zip(first.tolist(), ends, a.tolist(), strict=True)], np.uint64).view(np.int64)
                     held.append((h, c, np.full(len(h), x, np.int64), np.full(len(h), y, np.int64), first.astype(np.int32), n.astype(np.int32), a.astype(np.int32)))
                     size += len(h)
-            if size > 100_000 or (held and k == len(texts) - 1):
-                yield batch_of(names, [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], types)
+            if size > LOT or (held and k == len(texts) - 1):
+                yield combined(held)
                 held, size = [], 0
 
 
@@ -248,7 +270,7 @@ _MEET = "ka long, kb long, lo int, hi int, h long, n int, a int, whole boolean"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, c). Contexts that occur twice give the run that they cover (h null); of anchors with several
+    """Rows of _emit sorted by (late, h, c). Contexts that occur twice give the run that they cover (h null); of anchors with several
     different contexts, one of each goes on to comparison. Only one row of each context is held."""
     names = ["ka", "kb", "lo", "hi", "h", "n", "a", "whole"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
@@ -265,8 +287,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, _, ka, kb, at, n, a, whole = (y[many] for y in x)
         return batch_of(names, [pa.array(y) for y in (ka, kb, at, at + n + SPAN - 1, h, n, a, whole)], types)
 
+    def told(rows: list[np.ndarray]) -> pa.RecordBatch:
+        _, _, ka, kb, at, n, _, _ = rows
+        zero = pa.array(np.zeros(len(ka), np.int32))
+        runs = [pa.array(ka), pa.array(kb), pa.array(at), pa.array((at + n + SPAN - 1).astype(np.int32))]
+        return batch_of(names, [*runs, pa.nulls(len(ka), pa.int64()), zero, zero, pa.array(np.ones(len(ka), bool))], types)
+
     for batch in batches:
-        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [np.zeros(batch.num_rows, bool)]
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 10)]
+        late = batch.column(1).to_numpy() > 0
+        if not late.all():
+            yield told([y[~late] for y in new])
+            new = [y[late] for y in new]
         x = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
         if not len(x[0]):
             continue
@@ -275,10 +307,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.repeat(counts > 1, counts)
         out = twice & ~x[7]
         if out.any():
-            _, _, ka, kb, at, n, _, _ = (y[out] for y in x)
-            none = pa.nulls(len(ka), pa.int64())
-            zero = pa.array(np.zeros(len(ka), np.int32))
-            yield batch_of(names, [pa.array(ka), pa.array(kb), pa.array(at), pa.array((at + n + SPAN - 1).astype(np.int32)), none, zero, zero, pa.array(np.ones(len(ka), bool))], types)
+            yield told([y[out] for y in x])
         x[7] = x[7] | twice
         x = [y[first] for y in x]
         cut = int(np.searchsorted(x[0], x[0][-1], "left"))
@@ -320,8 +349,8 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     """(ka, kb, lo, hi): runs of bytes that repeated strings cover, of each different text of _named's rows."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    emitted = docs.select("ka", "kb", "text").mapInArrow(_emit, "h long, c long, ka long, kb long, at int, n int, a int")
-    met = stored(emitted.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(_meet, _MEET), "contexts")
+    emitted = docs.select("ka", "kb", "text").mapInArrow(_emit, _EMIT)
+    met = stored(emitted.repartition(n, "key").sortWithinPartitions("late", "h", "c").mapInArrow(_meet, _MEET), "contexts")
     asked = met.filter("h IS NOT NULL")
     text = F.encode("text", "UTF-8")
     fetched = docs.select("ka", "kb", "text").join(asked, ["ka", "kb"]).select("h", "ka", "kb", F.col("lo").alias("at"), "n", "a", "whole", F.substring(text, F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("x"))
