@@ -27,8 +27,8 @@ from .common import as_bytes, batch_of, keyed, map_batches, stored
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words whose ids a worker keeps in either of two generations; a bound on memory only.
-CHUNKS_KEPT, WORDS_KEPT = 150_000, 200_000
+#: Words whose ids a worker keeps in either of two generations; a bound on memory only.
+WORDS_KEPT = 350_000
 #: Pieces of one length that are numbered in one group, about.
 RUN = 500
 
@@ -46,7 +46,7 @@ def _latin_pattern() -> re.Pattern:
 #: Below this, normalisation is lower-casing alone; texts with other characters, or those below, go to the tokenizer whole.
 LATIN = 0x250
 _WORDS = _latin_pattern()
-_OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]|<\\|")
+_OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]")
 
 
 class Kept:
@@ -71,34 +71,29 @@ class Kept:
 
 
 class WordEncoder:
-    """Token ids of whole texts through caches of their space-separated chunks and of the words that these consist of.
+    """Token ids of whole texts from those of the words that they consist of, which are cached.
 
     The tokenizer drops white space and no token crosses a word of its splitting pattern, so the ids of a text are those
-    of its words in a row.
+    of its words in a row. The different space-separated chunks of a lot of texts are split into words once each.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = Kept(CHUNKS_KEPT), Kept(WORDS_KEPT)
+        self.words = Kept(WORDS_KEPT)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [None if _OTHER.search(t) or "<|" in t else t.lower().replace("\n", " ").split(" ") for t in texts]
+        chunks = list(set().union(*(x for x in split if x)))
         parts = list(map(_WORDS.findall, chunks))
-        fresh = self.words.lacking({w for p in parts for w in p})
+        fresh = self.words.lacking(set().union(*parts))
         self.words.young.update(zip(fresh, self._ids(fresh), strict=True))
-        known = self.words.young.__getitem__
-        self.chunks.young.update((c, b"".join(map(known, p))) for c, p in zip(chunks, parts, strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _OTHER.search(t) else t.lower().replace("\n", " ").split(" ") for t in texts]
-        fresh = self.chunks.lacking(set().union(*(x for x in split if x)))
-        if fresh:
-            self._learn(fresh)
-        known = self.chunks.young.__getitem__
+        word = self.words.young.__getitem__
+        known = {c: word(p[0]) if len(p) == 1 else b"".join(map(word, p)) for c, p in zip(chunks, parts, strict=True)}.__getitem__
         rest = iter(self._ids([t for t, x in zip(texts, split, strict=True) if x is None]))
         return [np.frombuffer(next(rest) if x is None else b"".join(map(known, x)), "<u4") for x in split]
 
@@ -123,8 +118,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         rows: list[tuple] = []
         ids = batch.column(0).to_pylist()
         texts = [x.decode() for x in as_bytes(batch.column(1))]
-        for lo in range(0, len(texts), 512):
-            for doc_id, got in zip(ids[lo : lo + 512], words.encode(texts[lo : lo + 512]), strict=True):
+        for lo in range(0, len(texts), 1024):
+            for doc_id, got in zip(ids[lo : lo + 1024], words.encode(texts[lo : lo + 1024]), strict=True):
                 got = np.concatenate([got, end])
                 for piece, start in enumerate(range(0, len(got), capacity)):
                     part = got[start : start + capacity]
