@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over documents; each stage reads what the one before it has written.
 
-toxicity: documents that the conditional random field rejects go. near_duplicates: one document of each SimHash
-component stays. decontamination: documents that contain a test item go. secrets: secrets in the texts are replaced.
+toxicity: documents that the conditional random field rejects go. near_duplicates: of documents whose five-word
+shingles have a Jaccard similarity of 0.8 or more, directly or by steps, one stays. decontamination: documents that contain a test item go. secrets: secrets in the texts are replaced.
 packing: what is left becomes token sequences.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from satchel.llm import decontaminate, packing, secrets, simhash, toxicity
+from satchel.llm import decontaminate, overlap, packing, secrets, toxicity
 from satchel.llm.common import stored, table
 
 
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return overlap.keep_one(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
