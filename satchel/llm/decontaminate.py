@@ -14,13 +14,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, keyed
+from .common import as_bytes, batch_of, bound_batches, keyed, stored
 
 K1, B = 1.2, 0.75
 #: Part of an item's own score that a passage must reach, and of its shingles and words that must stand in the passage.
@@ -53,10 +54,23 @@ def _shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]
     return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
 
 
+@dataclass
+class Statistics:
+    """What scores depend on: of all items, whichever index they are in. `held` may leave out words of other indexes."""
+
+    items: int
+    mean: float
+    longest: int
+    held: dict[bytes, int]
+
+
 class ItemIndex:
-    """Inverted index of test items with block maxima. Size and cost are those of the items, not of the corpus."""
+    """Inverted index of test items with block maxima. Size and cost are those of the items, not of the corpus.
+
+    `statistics` are those of all items where this index holds a part of them.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, overlap: float = OVERLAP, statistics: Statistics | None = None) -> None:
         self.threshold, self.overlap = threshold, overlap
         rows = [(i, t) for i, t in sorted(items) if words_of(t)]
         self.ids = [i for i, _ in rows]
@@ -64,9 +78,11 @@ class ItemIndex:
         self.words = [words_of(t) for _, t in rows]
         self.shingles = [_shingles(w) for w in self.words]
         self.parts = [tuple(set(p) for p in _parts(t)) for _, t in rows]
-        self.stride = max([STRIDE, *(math.ceil(1.25 * len(w)) for w in self.words)])
-        held = Counter(w for bag in bags for w in bag)
-        mean = sum(map(len, self.words)) / max(1, len(rows))
+        if statistics is None:
+            statistics = Statistics(len(rows), sum(map(len, self.words)) / max(1, len(rows)), max(map(len, self.words), default=0), Counter(w for bag in bags for w in bag))
+        n_items, mean = statistics.items, statistics.mean
+        self.stride = max(STRIDE, math.ceil(1.25 * statistics.longest))
+        held = {w: statistics.held[w] for bag in bags for w in bag}
         self.terms = {w: k + 1 for k, w in enumerate(sorted(held))}
         self.block = max(BLOCK_ITEMS, -(-len(rows) // BLOCKS))
         n_blocks = -(-len(rows) // self.block)
@@ -75,16 +91,16 @@ class ItemIndex:
         usual = np.zeros(len(rows))
         for i, bag in enumerate(bags):
             norm = K1 * (1 - B + B * len(self.words[i]) / mean)
-            impact = {w: math.log(1 + (len(rows) - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in bag.items()}
+            impact = {w: math.log(1 + (n_items - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in bag.items()}
             total = sum(impact.values())
             for w, x in impact.items():
                 t, b = self.terms[w], i // self.block
                 self.postings[t, b].append((i, x / total))
                 self.maxima[t, b] = max(self.maxima[t, b], np.float32(x / total))
-                if held[w] >= max(3, COMMON * len(rows)):
+                if held[w] >= max(3, COMMON * n_items):
                     usual[i] += x / total
         for w, n in held.items():
-            if n >= max(3, COMMON * len(rows)):
+            if n >= max(3, COMMON * n_items):
                 self.maxima[self.terms[w]] = 0
         self.scarce = self.maxima.any(axis=1)
         self.maxima *= np.float32(1.00001)  # the bounds stay bounds whatever the order of summation
@@ -181,9 +197,31 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // INDEX_BYTES))
+    if parts == 1:
+        yield ItemIndex([(r["i"], r["t"].encode()) for r in items.collect()], threshold, overlap)
+        return
+    bound_batches(items.sparkSession)
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [x for x in (len(words_of(t)) for t in as_bytes(batch.column(0))) if x]
+            yield batch_of(["items", "words", "longest"], [[len(n)], [sum(n)], [max(n, default=0)]], [pa.int64()] * 3)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, w) for p, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) for w in set(words_of(t))]
+            for lo in range(0, len(rows), 100_000):
+                yield batch_of(["p", "w"], list(map(list, zip(*rows[lo : lo + 100_000], strict=True))), [pa.int32(), pa.binary()])
+
+    total = items.select("t").mapInArrow(lengths, "items long, words long, longest long").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    number = F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")
+    by_part = items.select(number.alias("p"), "t").mapInArrow(words, "p int, w binary").groupBy("p", "w").agg(F.count("*").alias("n"))
+    by_part = stored(by_part, "item-words")
+    held = stored(by_part.join(by_part.groupBy("w").agg(F.sum("n").alias("_all")), "w").select("p", "w", "_all"), "item-frequencies")
     for k in range(parts):
-        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)
-        yield ItemIndex([(r["i"], r["t"].encode()) for r in part.collect()], threshold, overlap)
+        frequencies = {bytes(r["w"]): r["_all"] for r in held.filter(F.col("p") == k).collect()}
+        statistics = Statistics(total[0] or 0, (total[1] or 0) / max(1, total[0] or 0), total[2] or 0, frequencies)
+        yield ItemIndex([(r["i"], r["t"].encode()) for r in items.filter(number == k).collect()], threshold, overlap, statistics)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
