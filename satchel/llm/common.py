@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound of bytes that one Arrow batch carries into Python, whatever the length of its texts.
-BATCH_BYTES = "32m"
+from ..scratch import fresh_name, fresh_path, join_dealt, release, shared_dir, stored
 
+__all__ = ["as_bytes", "batch_of", "bound_batches", "fresh_name", "fresh_path", "join_dealt", "keyed", "lots", "map_batches", "release", "shared_dir", "stored", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = held or f"file://{tempfile.mkdtemp(prefix='satchel-')}"
-    if not held:
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/satchel/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+#: Bytes that one Arrow batch carries into Python at most, but for one longer row.
+BATCH_BYTES = "8m"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -56,6 +33,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def lots(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of texts of `most` bytes together, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each input batch."""
     bound_batches(df.sparkSession)

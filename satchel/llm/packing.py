@@ -10,27 +10,50 @@ fit, again a pattern at a time. Pieces then get their place by rank within their
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_bytes, batch_of, keyed, map_batches, stored
+from .common import batch_of, bound_batches, fresh_name, keyed, lots, stored
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps in either of two generations; a bound on memory only.
-WORDS_KEPT = 350_000
-#: Pieces of one length that are numbered in one group, about.
-RUN = 500
+#: Bytes of texts that are tokenised at once (one longer text is a lot of its own), words in one call of the tokenizer, and
+#: words whose ids a worker keeps, about 30 MB.
+LOT_BYTES, CALL_WORDS, WORDS_KEPT = 4 << 20, 1000, 200_000
+#: Pieces of one length that are numbered in one group, about, and groups of one length at most.
+RUN, MOST_RUNS = 100, 1 << 16
+
+# How a tokenizer whose words can be looked up one by one prepares its text.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+WORD_END = "</w>"
+
+#: Below this, normalisation is lower-casing alone; chunks with other characters, or those below, go to the tokenizer whole.
+LATIN = 0x250
+_OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]")
 
 
 def _latin_pattern() -> re.Pattern:
@@ -40,94 +63,137 @@ def _latin_pattern() -> re.Pattern:
         kind = " " if c in "\t\n\v\f\r \x85\xa0" else unicodedata.category(c)[0]
         if kind in kinds:
             kinds[kind] += re.escape(c)
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds[' ']}{kinds['L']}{kinds['N']}]+")
+    return re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds[' ']}{kinds['L']}{kinds['N']}]+")
 
 
-#: Below this, normalisation is lower-casing alone; texts with other characters, or those below, go to the tokenizer whole.
-LATIN = 0x250
+#: Finds words, and the line breaks that part chunks.
 _WORDS = _latin_pattern()
-_OTHER = re.compile(f"[\x1c-\x1f\u0130{chr(LATIN)}-\U0010ffff]")
-
-
-class Kept:
-    """A bounded cache of two generations: a full young one becomes the old one, and what is met again moves back."""
 
-    def __init__(self, most: int) -> None:
-        self.most, self.young, self.old = most, {}, {}
 
-    def lacking(self, keys: set[str]) -> list[str]:
-        """Make room for keys, move those of the old generation back, and tell which are in neither."""
-        fresh = keys.difference(self.young)
-        if len(self.young) + len(fresh) > self.most:
-            self.old, self.young, fresh = self.young, {}, keys
-        out = []
-        for k in fresh:
-            got = self.old.get(k)
-            if got is None:
-                out.append(k)
-            else:
-                self.young[k] = got
-        return out
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes starts[0], starts[0] + 1, ... of all ranges in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-class WordEncoder:
-    """Token ids of whole texts from those of the words that they consist of, which are cached.
+class TextEncoder:
+    """Token ids of whole texts, as the tokenizer gives them.
 
-    The tokenizer drops white space and no token crosses a word of its splitting pattern, so the ids of a text are those
-    of its words in a row. The different space-separated chunks of a lot of texts are split into words once each.
+    Where the tokenizer drops white space, ends every word of its splitting pattern with a token of its own kind and
+    normalises within words alone, the ids of a text are those of its words in a row: then every different word of a lot
+    is encoded once, many in one call, and the first WORDS_KEPT words are kept. Any other tokenizer, and texts that hold one
+    of its added tokens, go through it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Kept(WORDS_KEPT)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _OTHER.search(t) or "<|" in t else t.lower().replace("\n", " ").split(" ") for t in texts]
-        chunks = list(set().union(*(x for x in split if x)))
-        parts = list(map(_WORDS.findall, chunks))
-        fresh = self.words.lacking(set().union(*parts))
-        self.words.young.update(zip(fresh, self._ids(fresh), strict=True))
-        word = self.words.young.__getitem__
-        known = {c: word(p[0]) if len(p) == 1 else b"".join(map(word, p)) for c, p in zip(chunks, parts, strict=True)}.__getitem__
-        rest = iter(self._ids([t for t, x in zip(texts, split, strict=True) if x is None]))
-        return [np.frombuffer(next(rest) if x is None else b"".join(map(known, x)), "<u4") for x in split]
+        kind = json.loads(self.tokenizer.to_str())
+        self.by_word = all(kind[k] == v for k, v in BY_WORD.items()) and kind["model"]["type"] == "BPE" and kind["model"].get("end_of_word_suffix") == WORD_END and not kind["model"].get("dropout")
+        self.added = [x["content"] for x in kind["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[v for k, v in vocabulary.items() if k.endswith(WORD_END)]] = True
+        self.known: dict = {"\n": 0}
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has)."""
+        ids, sizes = [], []
+        for lo in range(0, len(words), CALL_WORDS):
+            part = words[lo : lo + CALL_WORDS]
+            (got,) = self._each([" ".join(part)])
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) == len(part) and stops[-1] == len(got):
+                ids.append(got)
+                sizes.append(np.diff(stops, prepend=0))
+            else:
+                each = self._each(part)
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
+        return (np.concatenate(ids), np.concatenate(sizes)) if words else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in a row, how many each has); a chunk holds no ASCII white space."""
+        joined = "".join(pc.binary_join_element_wise(chunks, "", "\n").to_pylist()) if len(chunks) else ""
+        if _OTHER.search(joined):
+            parts = ([(x,), "\n"] if _OTHER.search(x) else [*_WORDS.findall(x.lower()), "\n"] for x in chunks.to_pylist())
+            words = list(chain.from_iterable(parts))
+        else:
+            words = _WORDS.findall(joined.lower())
+        known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        odd = [w for w in fresh if isinstance(w, tuple)]
+        plain = [w for w in fresh if isinstance(w, str)] if odd else fresh
+        ids, sizes = self._of_words(plain)
+        each = self._each([w[0] for w in odd])
+        ids, sizes = np.concatenate([self.ids, ids, *each]), np.r_[self.sizes, sizes, [len(x) for x in each]].astype(np.int64)
+        known = known | {w: k for k, w in enumerate(chain(plain, odd), len(known))}
+        if len(known) <= WORDS_KEPT:
+            self.known, self.ids, self.sizes = known, ids, sizes
+        used = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        total = np.cumsum(sizes[used])
+        pool = ids[_ranges((np.cumsum(sizes) - sizes)[used], sizes[used])]
+        return pool, np.diff(total[used == 0], prepend=0)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of a string column, in order; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            for text in texts:
+                yield from self._each([text.as_py()])
+            return
+        whole = np.zeros(len(texts), bool)
+        for mark in self.added:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        pool, sizes = self._of_chunks(coded.dictionary)
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        stops = np.r_[0, np.cumsum(sizes[codes])]
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        ids = pool[_ranges(starts[codes], sizes[codes])]
+        for k in range(len(texts)):
+            yield self._each([texts[k].as_py()])[0] if whole[k] else ids[stops[offsets[k]] : stops[offsets[k + 1]]]
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """One for each worker process, kept from task to task."""
-    return WordEncoder(path)
+    return TextEncoder(path)
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and end id, cut only where over capacity.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they occur.
+    A null or empty text is the end id alone; a null id stays null. Repeated rows are packed as often as they occur. Other
+    columns are not read, whatever their names. An empty table gives no pieces.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = encoder(tokenizer_path)
-        end = np.array([end_id], "<u4")
-        rows: list[tuple] = []
-        ids = batch.column(0).to_pylist()
-        texts = [x.decode() for x in as_bytes(batch.column(1))]
-        for lo in range(0, len(texts), 1024):
-            for doc_id, got in zip(ids[lo : lo + 1024], words.encode(texts[lo : lo + 1024]), strict=True):
-                got = np.concatenate([got, end])
-                for piece, start in enumerate(range(0, len(got), capacity)):
-                    part = got[start : start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())) + ((part.tolist(),) if with_ids else ()))
-        return batch_of(names, list(map(list, zip(*rows, strict=True))), types)
+    end = np.array([end_id], "<u4").tobytes()
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in lots(texts, LOT_BYTES):
+                rows: list[tuple] = []
+                for doc_id, got in zip(ids[lo:hi], encoder(tokenizer_path).encode(texts.slice(lo, hi - lo)), strict=True):
+                    for piece, start in enumerate(range(0, len(got) + 1, capacity)):
+                        part, last = got[start : start + capacity], len(got) < start + capacity
+                        check = zlib.crc32(np.ascontiguousarray(part))
+                        row = (doc_id, piece, start, len(part) + last, zlib.crc32(end, check) if last else check)
+                        rows.append(row + (part.tolist() + [end_id] * last,) if with_ids else row)
+                yield batch_of(names, list(map(list, zip(*rows, strict=True))), types)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return map_batches(keyed(df, id_col, text_col), run, schema)
+    return keyed(df, id_col, text_col).mapInArrow(run, schema)
 
 
 class _Stock:
@@ -241,30 +307,45 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to stored pieces (doc_id, piece, start, length, ids_crc32, ...).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, runs_of: int = RUN) -> DataFrame:
+    """Add sequence_id and offset to stored pieces with a column length; all other columns stay, whatever their names.
 
-    The driver sees one count for each length, at most `capacity` of them, and broadcasts the plan: a few rows for each
-    length. A common length is numbered in salted runs, so that no task gets all its pieces. Equal pieces (repeated
-    rows) take places of their own. An empty table gives an empty table; which of equal lengths goes where is open.
+    The driver sees one count for each length, at most `capacity` of them; the plan that goes to the tasks has a few rows
+    for each length. Pieces of a length, equal ones too, are dealt to runs by their place in the stored table and numbered
+    run by run, so no task gets all pieces of a common length. Null lengths are refused, an empty table gives an empty
+    table, and which of equal lengths goes where is open.
     """
-    spark: SparkSession = pieces.sparkSession
+    spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    kind = "length long, lo long, hi long, copies long, sequence long, at long"
-    slots = spark.createDataFrame(_slots(plan(counts, capacity)), kind)
-    runs = spark.createDataFrame([(k, max(1, n // RUN)) for k, n in counts.items()], "length long, runs long")
-    salted = pieces.join(F.broadcast(runs), "length").withColumn("run", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "runs")).drop("runs")
-    sizes = salted.groupBy("length", "run").count()
-    before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "run").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_n", F.row_number().over(within) - 1).join(bases, ["length", "run"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("_n")).drop("run", "base", "_n")
-    placed = ranked.join(F.broadcast(slots.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & F.col("rank").between(F.col("lo"), F.col("hi")))
-    step = F.col("rank") - F.col("lo")
-    sequence = F.col("sequence") + F.floor(step / F.col("copies")).cast("long")
-    offset = F.col("at") + F.pmod(step, "copies") * F.col("length")
-    return placed.select(*pieces.columns, sequence.alias("sequence_id"), offset.alias("offset"))
+    if None in counts:
+        raise ValueError("a piece has no length")
+    at, run, base, rank = (fresh_name(pieces, x) for x in ("at", "run", "base", "rank"))
+    slots = np.array(_slots(plan(counts, capacity)), np.int64).reshape(-1, 6)
+    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    runs = spark.createDataFrame([(k, min(MOST_RUNS, max(1, n // runs_of))) for k, n in counts.items()], f"length long, {run} long")
+    salted = pieces.withColumn(at, F.monotonically_increasing_id()).join(F.broadcast(runs), "length").withColumn(run, F.pmod(F.xxhash64(at), run))
+    sizes = salted.groupBy("length", run).count()
+    before = Window.partitionBy("length").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", run, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("length", run).orderBy(at)
+    ranked = salted.withColumn(rank, F.row_number().over(within) - 1).join(bases, ["length", run])
+    ranked = ranked.select(*pieces.columns, (F.col(rank) + F.col(base)).alias(rank))
+    place = pieces.columns.index("length")
+
+    span = sum(counts.values()) + 1
+    firsts = slots[:, 0] * span + slots[:, 1]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns - 1
+            length, number = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (place, n))
+            _, first, _, copies, sequence, offset = slots[np.searchsorted(firsts, length * span + number, "right") - 1].T
+            step = number - first
+            where = [pa.array(sequence + step // copies), pa.array(offset + step % copies * length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *where], names=[*batch.schema.names[:n], "sequence_id", "offset"])
+
+    kind = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(put, kind)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
