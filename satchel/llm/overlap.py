@@ -1,14 +1,18 @@
-"""Near-duplicates of a stage: all pairs whose word shingles have a Jaccard similarity of at least 0.8, exactly.
+"""All pairs of texts whose word shingles have a Jaccard similarity of at least 0.8, exactly: what SimHash leaves.
 
 Equal sets of shingles count as one. The shingles of a set stand in one order for all sets: those seen often last, then by
 hash. Two sets of n and k shingles that are similar enough share at least 4/9 (n + k) of them, so their first shared
-shingle stands among the first n - ceil(0.8 n) + 1 of either, and enough must be left behind it in both. Pairs that meet
-so are candidates; each is verified on the whole sets. The order only decides how many candidates there are.
+shingle stands among the first n - ceil(0.8 n) + 1 of either: sets meet at those. Links that are known join sets into
+components, and only pairs of different components are looked at: first every set with the least one at each meeting
+point, then, with what that has joined, all others. A pair is a candidate if its sizes allow the similarity and so do
+the numbers of its shingles in each of BINS parts of the hash space, which bound what it shares from above. Every
+candidate is verified on the whole sets. Neither the order nor the bound loses a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,33 +20,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, stored
+from .common import as_bytes, batch_of, bound_batches, fresh_name, join_dealt, lots, release, stored
 from .components import components
 
 SHINGLE, SEED = 5, 42
 #: Pairs that a task looks at, and shingles that it counts, at once.
-PAIRS, COUNTED = 1 << 21, 1 << 21
+PAIRS, COUNTED = 1 << 17, 1 << 20
 #: Shingles in at least OFTEN sets of one count go last; of these, the most frequent COMMON. Others keep the order of their hashes.
 OFTEN, COMMON = 4, 1 << 17
+#: Sets at one meeting point that a task takes, about; parts of the hash space in which shingles are counted.
+MEETING, BINS, MOST = 2000, 256, 255
+#: Bytes of texts that a task cuts into shingles at once.
+LOT_BYTES = 1 << 20
+#: Pairs that a task holds before it drops those that it has twice.
+HELD = 1 << 20
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles. No word: none. Fewer words: one shingle."""
+def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included. No word: none. Fewer words: one shingle."""
     words = text.lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     size = min(size, len(words))
     stops = ends[size - 1 :].tolist()
     starts = [0, *(ends[: len(words) - size] + 1).tolist()]
     xx = xxhash.xxh64_intdigest
-    return np.unique(np.array([xx(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64).view(np.int64))
+    return np.array([xx(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, as signed numbers."""
+    return np.unique(shingle_hashes(text, size).view(np.int64))
 
 
 def digest(hashes: np.ndarray) -> int:
-    """A signed long that stands for the set; zero for the empty one."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
+    """A signed long that stands for the set; zero for the empty one alone."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)) or 1 if len(hashes) else 0
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -51,47 +66,95 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _with_digest(df: DataFrame, name: str, text_col: str) -> DataFrame:
+def bins(hashes: np.ndarray) -> bytes:
+    """How many of the hashes lie in each part of the hash space, MOST standing for any larger number."""
+    return np.minimum(np.bincount(hashes.view(np.uint64) >> np.uint64(56), minlength=BINS), MOST).astype(np.uint8).tobytes()
+
+
+def possible(size_a: np.ndarray, size_b: np.ndarray, bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may have the similarity, by their sizes and by the most that they can share in each part."""
+    shared = np.minimum(bins_a, bins_b)
+    ok = (9 * shared.sum(axis=1, dtype=np.int64) >= 4 * (size_a + size_b)) | (shared == MOST).any(axis=1)
+    return ok & of_a_size(size_a, size_b)
+
+
+def of_a_size(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
+
+
+def _bins_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+@dataclass
+class Marked:
+    """A stored table of texts with more columns: digest, size and bins of each text's set, fingerprint, row number, rank."""
+
+    rows: DataFrame
+    text: str
+    group: str
+    size: str
+    bins: str
+    fp: str
+    row: str
+    rank: str
+
+
+def marked(df: DataFrame, id_col: str, text_col: str, shingle: int, sketch: Callable[[np.ndarray], int]) -> Marked:
+    group, size, parts, fp, row, rank = (fresh_name(df, x) for x in ("set", "size", "bins", "fp", "row", "rank"))
     at = df.columns.index(text_col)
     bound_batches(df.sparkSession)
-    schema = df.withColumn(name, F.lit(0).cast("long")).schema
+    zero = F.lit(0).cast("long")
+    schema = df.withColumns({group: zero, size: zero, parts: F.lit(b""), fp: zero}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = pa.array([digest(shingles(x)) for x in as_bytes(batch.column(at))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, sets], names=[*batch.schema.names, name])
+        for whole in batches:
+            for lo, hi in lots(whole.column(at), LOT_BYTES):
+                batch = whole.slice(lo, hi - lo)
+                hashes = [shingle_hashes(x, shingle) for x in as_bytes(batch.column(at))]
+                sets = [np.unique(h.view(np.int64)) for h in hashes]
+                columns = [([digest(x) for x in sets], pa.int64()), ([len(x) for x in sets], pa.int64()), ([bins(x) for x in sets], pa.binary()), ([sketch(h) for h in hashes], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(*x) for x in columns)], names=[*batch.schema.names, group, size, parts, fp])
+
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"))
+    rows = df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()).withColumn(rank, order)
+    return Marked(stored(rows, "marked"), text_col, group, size, parts, fp, row, rank)
+
 
-    return df.mapInArrow(run, schema)
+def one_a_set(m: Marked) -> DataFrame:
+    """(id, rank, row, fp, size, bins): one row for each different set, of the row of the least rank that has it; stored."""
+    first = F.min(F.struct(m.rank, m.row)).alias("first")
+    sets = m.rows.groupBy(F.col(m.group).alias("id")).agg(first, F.min(m.fp).alias("fp"), F.min(m.size).alias("size"), F.min(m.bins).alias("bins"))
+    return stored(sets.select("id", F.col(f"first.{m.rank}").alias("rank"), F.col(f"first.{m.row}").alias("row"), "fp", "size", "bins"), "sets")
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+def _sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(digest, hashes) of the rows (digest, text) of a task, equal sets once, without the empty one."""
     seen = {0}
     for batch in batches:
         for k, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
             if k not in seen:
                 seen.add(k)
-                yield k, shingles(text)
+                yield k, shingles(text, size)
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of shingles seen often, by hash: a bounded number, for the order alone."""
+def common_shingles(texts: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles seen often, by hash: a bounded number, for the order and the dealing alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size_ = [], 0
 
         def settle() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= OFTEN
             return batch_of(["h", "n"], [pa.array(values[often]), pa.array(counts[often])], [pa.int64(), pa.int64()])
 
-        for _, hashes in _sets_of(batches):
+        for _, hashes in _sets_of(batches, size):
             held.append(hashes)
-            size += len(hashes)
-            if size >= COUNTED:
+            size_ += len(hashes)
+            if size_ >= COUNTED:
                 yield settle()
-                held, size = [], 0
+                held, size_ = [], 0
         if held:
             yield settle()
 
@@ -102,124 +165,210 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], counts[order]
 
 
-def prefix(hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of the set, in the order of all sets, that a similar set must share one of."""
+def prefix(hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of the set, in the order of all sets, that a similar set must share one of, and their counts."""
     weight = np.zeros(len(hashes), np.int64)
     if len(values):
         at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
         weight = np.where(values[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, weight))][: len(hashes) - -(-4 * len(hashes) // 5) + 1]
-
-
-def _candidates(keys: np.ndarray, sets: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(u, v) of sets that meet at a key and may be similar, u < v; rows sorted by key and set."""
-    once = np.r_[True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])]
-    keys, sets, sizes, places = keys[once], sets[once], sizes[once].astype(np.int64), places[once].astype(np.int64)
-    group = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1
-    several = np.bincount(group)[group] > 1
-    if not several.any():
-        return
-    group, sets, sizes, places = group[several], sets[several], sizes[several], places[several]
-    order = np.lexsort((sizes, group))
-    group, sets, sizes, places = group[order], sets[order], sizes[order], places[order]
-    span = int(sizes.max()) + 1
-    at = group * span + sizes
-    n = np.searchsorted(at, group * span + np.minimum(sizes * 5 // 4, span - 1), "right") - np.arange(len(at)) - 1
-    ends = np.cumsum(n)
-    lo = 0
-    while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
-        part = n[lo:hi]
-        left = np.repeat(np.arange(lo, hi), part)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(part) - part, part)
-        rest = np.minimum(sizes[left] - places[left], sizes[right] - places[right])
-        hit = rest >= -(-4 * (sizes[left] + sizes[right]) // 9)
-        if hit.any():
-            u, v = sets[left[hit]], sets[right[hit]]
-            found = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-            yield found[0], found[1]
-        lo = hi
+    first = np.lexsort((hashes, weight))[: len(hashes) - -(-4 * len(hashes) // 5) + 1]
+    return hashes[first], weight[first]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from rows (key, set, size, place) sorted by key and set."""
-    held: list[list[np.ndarray]] = []
-
-    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for u, v in _candidates(*columns):
-            for k in range(0, len(u), 50_000):
-                yield batch_of(["u", "v"], [pa.array(u[k : k + 50_000]), pa.array(v[k : k + 50_000])], [pa.int64(), pa.int64()])
+    """Rows (key, deal, id) sorted so: those of keys that are dealt or that several sets hold, with the least id that is there.
 
+    Nothing is held but the last row.
+    """
+    last = None  # the last (key, deal, id, least id of its group) and whether it has been given out
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-        if held[0][0][0] != held[-1][0][-1]:
+        key, deal, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        if last is not None:
+            key, deal, ids = np.r_[last[0], key], np.r_[last[1], deal], np.r_[last[2], ids]
+        once = np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1]) | (ids[1:] != ids[:-1])]
+        key, deal, ids = key[once], deal[once], ids[once]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])])
+        sizes = np.diff(np.r_[first, len(key)])
+        least = np.repeat(ids[first], sizes)
+        if last is not None:
+            least[: sizes[0]] = last[3]
+        given = np.repeat(sizes > 1, sizes) | (deal >= 0) | (least != ids)
+        out = given.copy()
+        out[0] &= last is None or not last[4]
+        if out.any():
+            yield batch_of(["key", "id", "least"], [pa.array(key[out]), pa.array(ids[out]), pa.array(least[out])], [pa.int64()] * 3)
+        last = (key[-1:], deal[-1:], ids[-1:], least[-1], bool(given[-1]))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of sets of like sizes from rows (hub, key, deal, root, main, id, size) sorted by hub, key, deal and root.
+
+    Of each group of one key and deal, pairs of different roots; those without the main root are given by deal 0 alone.
+    """
+    found: list[np.ndarray] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        once = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        found.clear()
+        for k in range(0, once.shape[1], 50_000):
+            yield batch_of(["u", "v"], [pa.array(once[0, k : k + 50_000]), pa.array(once[1, k : k + 50_000])], [pa.int64(), pa.int64()])
+
+    def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, deal, root, main, ids, size = x
+        new = np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])]
+        stop = np.r_[np.flatnonzero(new)[1:], len(key)][np.cumsum(new) - 1]
+        other = np.r_[True, new[1:] | (root[1:] != root[:-1])]
+        after = np.r_[np.flatnonzero(other)[1:], len(key)][np.cumsum(other) - 1]
+        n = stop - after
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            own = n[lo:hi]
+            left = np.repeat(np.arange(lo, hi), own)
+            right = np.repeat(after[lo:hi], own) + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+            ok = (deal[left] == 0) | (root[left] == main[left]) | (root[right] == main[right])
+            ok &= of_a_size(size[left], size[right])
+            u, v = ids[left[ok]], ids[right[ok]]
+            found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1))
+            if sum(y.shape[1] for y in found) > HELD:
+                found[:] = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                if found[0].shape[1] > HELD // 2:
+                    yield from settle()
+            lo = hi
+
+    held: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7)])
+        if (held[0][0][0], held[0][1][0]) != (held[-1][0][-1], held[-1][1][-1]):
             joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(joined[0], joined[0][-1], "left"))
-            yield from settle([x[:cut] for x in joined])
+            cut = int(np.flatnonzero((joined[0] != joined[0][-1]) | (joined[1] != joined[1][-1]))[-1]) + 1
+            yield from pairs([x[:cut] for x in joined])
             held = [[x[cut:] for x in joined]]
     if held:
-        yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
-
-
-def links(texts: DataFrame) -> DataFrame:
-    """(u, v) of every two different sets of rows (digest, text) whose Jaccard similarity is at least 0.8."""
-    spark = texts.sparkSession
-    bound_batches(spark)
-    set_col, text_col = texts.columns
-    values, counts = _common(texts)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-            n = [len(first) for *_, first in rows]
-            columns = [np.concatenate([x for *_, x in rows]), np.repeat([k for k, *_ in rows], n), np.repeat([s for _, s, _ in rows], n).astype(np.int32), np.concatenate([np.arange(x, dtype=np.int32) for x in n])]
-            return batch_of(["key", "id", "size", "place"], [pa.array(x) for x in columns], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
-
-        held, size = [], 0
-        for k, hashes in _sets_of(batches):
-            held.append((k, len(hashes), prefix(hashes, values, counts)))
-            size += len(held[-1][2])
-            if size >= 50_000:
+        yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+    yield from settle()
+
+
+class Rest:
+    """Joins what candidates found by other means leave apart. `sets` is what one_a_set gives."""
+
+    def __init__(self, rows: Marked, sets: DataFrame, shingle: int = SHINGLE) -> None:
+        self.marked, self.sets, self.shingle = rows, sets, shingle
+        self.spark = sets.sparkSession
+        self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        bound_batches(self.spark)
+
+    def _met(self) -> DataFrame:
+        """(key, id, least): sets at their meeting points, those that meet no other left out; least is one of the ids there.
+
+        A shingle that many sets hold is dealt to several groups, each with a least id of its own.
+        """
+        texts = self.marked.rows.select(self.marked.group, self.marked.text)
+        values, counts = common_shingles(texts, self.shingle)
+        shingle = self.shingle
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def settle(rows: list) -> pa.RecordBatch:
+                keys, weights = (np.concatenate(x) for x in zip(*((k, w) for _, k, w in rows), strict=True))
+                ids = np.repeat([i for i, *_ in rows], [len(k) for _, k, _ in rows])
+                deals = np.maximum(1, weights // MEETING)
+                mixed = (ids.view(np.uint64) >> np.uint64(20)).astype(np.int64)
+                deal = np.where(deals > 1, mixed % deals, -1).astype(np.int32)
+                return batch_of(["key", "deal", "id"], [pa.array(keys), pa.array(deal), pa.array(ids)], [pa.int64(), pa.int32(), pa.int64()])
+
+            held, size = [], 0
+            for k, hashes in _sets_of(batches, shingle):
+                held.append((k, *prefix(hashes, values, counts)))
+                size += len(held[-1][1])
+                if size >= 50_000:
+                    yield settle(held)
+                    held, size = [], 0
+            if held:
                 yield settle(held)
-                held, size = [], 0
-        if held:
-            yield settle(held)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sets = pa.array([shingles(x) for x in as_bytes(batch.column(1))], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "hashes"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [similar(a[k].values.to_numpy(), b[k].values.to_numpy()) for k in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = texts.mapInArrow(place, "key long, id long, size int, place int")
-    met = placed.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_meet, "u long, v long")
-    pairs = stored(met.distinct(), "pairs")
-    nodes = stored(pairs.select(F.col("u").alias(set_col)).union(pairs.select("v")).distinct(), "nodes")
-    sets = texts.join(nodes, set_col, "left_semi").dropDuplicates([set_col]).select(set_col, text_col).mapInArrow(hashed, "id long, hashes array<long>")
-    sets = stored(sets, "sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("_a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("_b")), "v")
-    return both.select("u", "v", "_a", "_b").mapInArrow(verify, "u long, v long")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component of similar texts: that of the least id, nulls last, ties by the row's hash. Columns stay.
-
-    Null and empty texts are alike.
-    """
-    names = df.columns
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(*names))
-    marked = stored(_with_digest(df, "_set", text_col).withColumn("_rank", rank), "marked")
-    distinct = stored(marked.groupBy("_set").agg(F.min("_rank").alias("first")), "distinct")
-    roots = stored(components(links(marked.select("_set", text_col))).withColumnRenamed("node", "_set"), "roots")
-    rooted = distinct.join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("_rank"), F.min_by("_set", "first").alias("_set"))
-    kept = marked.join(best.select("_set", "_rank"), ["_set", "_rank"], "left_semi")
-    return kept.dropDuplicates(["_set", "_rank"]).select(*names)
+
+        placed = texts.mapInArrow(place, "key long, deal int, id long").repartition(self.partitions, "key", "deal")
+        return stored(placed.sortWithinPartitions("key", "deal", "id").mapInArrow(_meet, "key long, id long, least long"), "met")
+
+    def _both(self, pairs: DataFrame, table: DataFrame, names: list[str], total: int) -> DataFrame:
+        """pairs (u, v) with the columns of table (id, ...) for either end, those of v with a 2 behind their names."""
+        one = table.select(F.col("id").alias("u"), *names)
+        other = table.select(F.col("id").alias("v"), *[F.col(x).alias(f"{x}2") for x in names])
+        out = join_dealt(join_dealt(pairs, one, ["u"], F.col("v"), total), other, ["v"], F.col("u"), total)
+        return out.select("u", "v", *names, *[f"{x}2" for x in names])
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) of a stored table whose sets are similar, stored: first by sizes and bins, then by the sets."""
+        shingle, m = self.shingle, self.marked
+
+        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    size, size2 = (batch.column(k).to_numpy() for k in (2, 4))
+                    yield batch.select([0, 1]).filter(pa.array(possible(size, size2, _bins_of(batch.column(3)), _bins_of(batch.column(5)))))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo, hi in lots(whole.column(1), LOT_BYTES):
+                    batch = whole.slice(lo, hi - lo)
+                    yield batch_of(["id", "hashes"], [batch.column(0), [shingles(x, shingle) for x in as_bytes(batch.column(1))]], [pa.int64(), pa.list_(pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = batch.column(2), batch.column(3)
+                keep = [similar(a[k].values.to_numpy(), b[k].values.to_numpy()) for k in range(batch.num_rows)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        left = stored(self._both(pairs, self.sets, ["size", "bins"], pairs.count()).mapInArrow(may, "u long, v long"), "possible")
+        nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
+        # Stored first, so that Spark knows whether they are few enough to find their texts without a shuffle of these.
+        wanted = stored(self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)), "wanted")
+        texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(m.group, m.text)
+        hashes = stored(texts.mapInArrow(hashed, "id long, hashes array<long>"), "hashes")
+        out = stored(self._both(left, hashes, ["hashes"], left.count()).mapInArrow(run, "u long, v long"), "verified")
+        for x in (pairs, left, wanted, hashes):
+            release(x)
+        return out
+
+    def components(self, candidates: DataFrame) -> DataFrame:
+        """(node, root) of all sets that are similar to another, directly or by steps; candidates (u, v) are tried first."""
+        links = self._verified(candidates)
+        met = self._met()
+        least = met.groupBy("key").agg(F.min("least").alias("_all"))
+        stars = met.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+        across = met.select("key", "least").distinct().join(least, "key").filter("least <> _all").select(F.col("least").alias("u"), F.col("_all").alias("v"))
+        apart = self._apart(stored(stars.union(across).distinct(), "stars"), stored(components(links), "roots"))
+        links = stored(links.union(self._verified(stored(apart, "apart"))), "links")
+        roots = stored(components(links), "roots")
+        last = self._verified(stored(self._pairs(met, roots), "pairs"))
+        out = stored(components(links.union(last)), "components")
+        for x in (met, links, roots, last):
+            release(x)
+        return out
+
+    def _apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs (u, v) that no component joins."""
+        total = pairs.count()
+        out = join_dealt(pairs, roots.select(F.col("node").alias("u"), F.col("root").alias("_a")), ["u"], F.col("v"), total, "left")
+        out = join_dealt(out, roots.select(F.col("node").alias("v"), F.col("root").alias("_b")), ["v"], F.col("u"), total, "left")
+        return out.filter("coalesce(_a, u) <> coalesce(_b, v)").select("u", "v")
+
+    def _pairs(self, met: DataFrame, roots: DataFrame) -> DataFrame:
+        """Candidates (u, v), u < v, of different components that share a meeting point."""
+        total = met.count()
+        rooted = join_dealt(met.select("key", "id", "least"), roots.withColumnRenamed("node", "id"), ["id"], F.col("key"), total, "left")
+        rooted = stored(rooted.withColumn("root", F.coalesce("root", "id")), "rooted")
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("least").alias("hub"))
+        mixed = sizes.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.min("hub").alias("hub"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+        mixed = mixed.filter("_lo <> _hi").select("key", "hub", "main", F.ceil(F.col("n") / MEETING).cast("int").alias("deals"))
+        rows = join_dealt(rooted.drop("least"), mixed, ["key"], F.col("id"), total)
+        rows = join_dealt(rows, self.sets.select("id", "size"), ["id"], F.col("key"), total)
+        own = F.array(F.pmod(F.xxhash64("id"), F.col("deals")).cast("int"))
+        rows = rows.withColumn("deal", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))))
+        # Texts that share one shingle often share many: what has one hub lies together, so its pairs are told once.
+        rows = rows.select("hub", "key", "deal", "root", "main", "id", "size").repartition(self.partitions, "hub", "deal").sortWithinPartitions("hub", "key", "deal", "root")
+        return rows.mapInArrow(_across, "u long, v long").distinct()

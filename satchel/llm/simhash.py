@@ -20,31 +20,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, keyed, map_batches, stored
+from . import overlap
+from .common import as_bytes, batch_of, bound_batches, join_dealt, keyed, map_batches, stored
 from .components import components
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
 BLOCKS = 3
 #: Pairs that a task compares at once, and rows of an anchor from which its homes are dealt out to several groups.
-PAIRS, HOT_ROWS = 1 << 21, 100_000
+PAIRS, HOT_ROWS = 1 << 19, 100_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits: set where over half of the shingle hashes have the bit. No word: zero. Fewer words: one shingle."""
-    words = text.lower().split()
-    if not words:
+def majority(hashes: np.ndarray) -> int:
+    """64 bits as a signed number: set where over half of the hashes have the bit; zero for none."""
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    size = min(shingle, len(words))
-    stops = ends[size - 1 :].tolist()
-    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
-    xx = xxhash.xxh64_intdigest
-    hashes = np.array([xx(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], ">u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits: set where over half of the shingle hashes have the bit. No word: zero. Fewer words: one shingle."""
+    return majority(overlap.shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long, a row for each row of df."""
 
@@ -54,21 +52,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(keyed(df, id_col, text_col), run, "doc_id long, fp long")
 
 
-def with_fingerprint(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """df with all its columns and the fingerprint as a new column of that name."""
-    at = df.columns.index(text_col)
-    bound_batches(df.sparkSession)
-    schema = df.withColumn(name, F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fps = pa.array([fingerprint(x) for x in as_bytes(batch.column(at))], pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, schema)
-
-
 @cache
 def _block(width: int, reach: int) -> tuple[np.ndarray, list[np.ndarray], int]:
     """(column syndromes, flips to every anchor within reach by syndrome, number of code bits) of blocks of that width."""
@@ -223,20 +206,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     own = stored(fingerprints(df, id_col, text_col), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    total = own.count()
     roots = stored(group_fingerprints(distinct, threshold), "roots")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    joined = own.join(named, "fp")
+    rooted = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = join_dealt(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), ["root"], F.col("fp"), total).select("fp", "component_id")
+    joined = join_dealt(own, named, ["fp"], F.monotonically_increasing_id(), total)
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """df with one row of each component: that of the least id, nulls last, ties by the row's hash. Columns stay."""
-    names = df.columns
-    marked = stored(with_fingerprint(df, "_fp", text_col).withColumn("_rank", F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(*names))), "marked")
-    distinct = stored(marked.groupBy("_fp").agg(F.min("_rank").alias("first")).withColumnRenamed("_fp", "fp"), "distinct")
-    roots = stored(group_fingerprints(distinct, threshold), "roots")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = rooted.groupBy("root").agg(F.min("first").alias("_best"), F.min_by("fp", "first").alias("_fp"))
-    kept = marked.join(best.select("_fp", F.col("_best").alias("_rank")), ["_fp", "_rank"], "left_semi")
-    return kept.dropDuplicates(["_fp", "_rank"]).select(*names)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = overlap.SHINGLE) -> DataFrame:
+    """df with one row of each group of near-duplicates: that of the least id, nulls last, ties by place. Columns stay.
+
+    Texts are near-duplicates if their shingles of `shingle` words have a Jaccard similarity of 0.8 or more, directly or
+    by steps. Anchor-point covering brings together texts whose fingerprints differ in at most `threshold` bits, and every
+    such link is verified on the shingles. Similar texts often differ in more bits than any anchor can cover (about ten
+    of 64 at 0.8), so what is still apart is then joined by `overlap`, which finds every pair that is left.
+
+    Null and empty texts are one group. Repeated rows are copies. An empty table gives an empty table. Columns of any name
+    may be there; of rows with one id and equal texts, the one that stands first in the table stays.
+    """
+    marked = overlap.marked(df, id_col, text_col, shingle, majority)
+    sets = overlap.one_a_set(marked)
+    full = sets.filter("id <> 0")
+    by_fp = stored(full.groupBy("fp").agg(F.min("id").alias("least")), "by-fingerprint")
+    equal = join_dealt(full.select("fp", F.col("id").alias("u")), by_fp.withColumnRenamed("least", "v"), ["fp"], F.col("u"), full.count()).select("u", "v")
+    close = stored(links(by_fp.select("fp"), threshold), "links")
+    n = close.count()
+    for end, other in (("u", "v"), ("v", "u")):
+        close = join_dealt(close, by_fp.select(F.col("fp").alias(end), F.col("least").alias(f"_{end}")), [end], F.col(other), n)
+    close = close.select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    candidates = stored(equal.filter("u <> v").union(close), "candidates")
+    roots = overlap.Rest(marked, sets, shingle).components(candidates)
+    rooted = sets.select("id", "rank", "row").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("best")).select(F.col("best.row").alias(marked.row))
+    return marked.rows.join(stored(best, "best"), marked.row, "left_semi").select(*df.columns)

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from satchel.llm import overlap
 from tests.llm.test_operators import prose
@@ -30,8 +34,11 @@ def brute_kept(rows):
     return {rows[k][0] for k in range(len(rows)) if find(k) == k}
 
 
-def test_stage_drops_every_copy_of_similarity_of_four_fifths(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("meeting", [2000, 3])
+def test_stage_drops_every_copy_of_similarity_of_four_fifths(spark, tmp_path, monkeypatch, meeting):
     monkeypatch.setattr(overlap, "PAIRS", 50)
+    monkeypatch.setattr(overlap, "MEETING", meeting)
+    monkeypatch.setattr(overlap, "OFTEN", 2)
     r = random.Random(8)
     common = prose(r, 12)
     texts = [None, "", "one two", "one two", "one  TWO three", *(common + " " + prose(r, r.randint(3, 40)) for _ in range(30))]
@@ -43,6 +50,11 @@ def test_stage_drops_every_copy_of_similarity_of_four_fifths(spark, tmp_path, mo
                 words[(k * n) // changed + 3] = f"other{k}"
             texts.append(" ".join(words))
         texts.append(" ".join(words[: -n // 7]))
+    base = prose(r, 60).split()
+    for k in range(25):  # a group of near copies
+        words = list(base)
+        words[r.randrange(60)] = f"copy{k}"
+        texts.append(" ".join(words))
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "src") for i, t in rows], "doc_id long, text string, source string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
@@ -55,3 +67,16 @@ def test_stage_of_odd_rows(spark, odd, none):
     assert corpus_pipeline.drop_near_duplicates(spark, none, "").count() == 0
     got = corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()
     assert sorted(x.doc_id or 0 for x in got) == [0, 1, 3, 4, 6, 7]
+
+
+def test_meeting_points_of_any_batches():
+    r = np.random.default_rng(3)
+    rows = sorted({(int(k), -1 if k % 2 else int(d), int(i)) for k, d, i in zip(r.integers(0, 30, 300), r.integers(0, 3, 300), r.integers(0, 12, 300), strict=True)})
+    rows = sorted(rows + rows[::7])
+    groups = {}
+    for k, d, i in rows:
+        groups.setdefault((k, d), set()).add(i)
+    want = sorted((k, i, min(ids)) for (k, d), ids in groups.items() for i in ids if d >= 0 or len(ids) > 1)
+    for size in (1, 2, 5, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + size], strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["key", "deal", "id"]) for lo in range(0, len(rows), size)]
+        assert sorted(x for b in overlap._meet(batches) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
