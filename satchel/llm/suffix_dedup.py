@@ -6,7 +6,10 @@ together by the anchor's hash. A context that occurs twice is repeated as a whol
 compared by a suffix array, built by linear grouping: suffixes are grouped by their Lyndon prefixes, groups taken in
 descending order through previous-smaller pointers, then every group's order is emitted, without recursive renaming.
 Before that the bytes that all contexts of an anchor share around it become one symbol, and what lies beyond the
-longest match on either side is cut, neither of which changes any comparison.
+longest match on either side is cut, neither of which changes any comparison. An anchor that very many different
+contexts have would be too much for one task: each window of its contexts is a context of its own then, brought together
+by its own hash, and such a context is only ever repeated as a whole. Which anchors are so common is seen in a part of the
+texts; it decides where strings meet, not which are found.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, stored
+from .common import as_bytes, batch_of, bound_batches, join_dealt, stored
 
 #: A repeated string has SPAN bytes; anchors have CORE. Symbols that one suffix array takes, about.
 SPAN, CORE = 200, 80
 SYMBOLS = 1 << 16
 #: Bytes of a text hashed at once (positions have 24 bits), and contexts that a task combines at once.
-SLICE, LOT = 1 << 22, 400_000
+SLICE, LOT = 1 << 22, 200_000
+#: Every SEEN-th text is looked at for common anchors: those of COMMON different contexts there, MOST_COMMON at most.
+SEEN, COMMON, MOST_COMMON = 50, 6, 100_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -225,7 +230,60 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _EMIT = "key long, late int, h long, c long, ka long, kb long, at int, n int, a int, whole boolean"
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(x: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of rows (h, c, ..., whole) those that occur twice and were not known to, and one of each with what is known now."""
+    order = np.lexsort((x[1], x[0]))
+    x = [y[order] for y in x]
+    first = np.flatnonzero(np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+    counts = np.diff(np.r_[first, len(order)])
+    told = np.repeat(counts > 1, counts) & ~x[7]
+    one = [y[first] for y in x]
+    one[7] = (counts > 1) | np.logical_or.reduceat(x[7], first)
+    return [y[told] for y in x], one
+
+
+def _windows(rows: list[np.ndarray], texts: list[bytes]) -> list[np.ndarray]:
+    """Each window of the contexts as a context of its own."""
+    out: list[list] = [[] for _ in rows]
+    xx = xxhash.xxh64_intdigest
+    for _, _, ka, kb, at, n, _, whole, number in zip(*(y.tolist() for y in rows), strict=True):
+        view = memoryview(texts[number])[at : at + n + SPAN - 1]
+        parts = [view[k : k + SPAN] for k in range(n)]
+        values = ([xx(v, 1) for v in parts], [xx(v, 2) for v in parts], [ka] * n, [kb] * n, range(at, at + n), [1] * n, [0] * n, [whole] * n, [number] * n)
+        for y, v in zip(out, values, strict=True):
+            y.extend(v)
+    signed = [np.array(out[k], np.uint64).view(np.int64) for k in range(2)]
+    return signed + [np.array(y, x.dtype) for x, y in zip(rows[2:], out[2:], strict=True)]
+
+
+def _contexts_of(texts: list[bytes], ka: list[int], kb: list[int]) -> list[np.ndarray]:
+    """(h, c, ka, kb, at, n, a, whole, number of the text) of all contexts of the texts."""
+    held = []
+    for number, text in enumerate(texts):
+        for h, first, n, a in contexts(text):
+            view, xx = memoryview(text), xxhash.xxh64_intdigest
+            ends = (first + n + SPAN - 1).tolist()
+            c = np.array([xx(view[i:j], d) for i, j, d in zip(first.tolist(), ends, a.tolist(), strict=True)], np.uint64).view(np.int64)
+            full = lambda v, k=len(h): np.full(k, v, np.int64)
+            held.append((h, c, full(ka[number]), full(kb[number]), first.astype(np.int32), n.astype(np.int32), a.astype(np.int32), np.zeros(len(h), bool), full(number)))
+    kinds = (np.int64,) * 4 + (np.int32,) * 3 + (bool, np.int64)
+    return [np.concatenate(y) for y in zip(*held, strict=True)] if held else [np.zeros(0, k) for k in kinds]
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of anchors that many different contexts have, as seen in a part of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _contexts_of(as_bytes(batch.column(2)), batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield batch_of(["h", "c"], [pa.array(x[0]), pa.array(x[1])], [pa.int64(), pa.int64()])
+
+    seen = docs.filter(F.pmod("ka", F.lit(SEEN)) == 0).select("ka", "kb", "text").mapInArrow(run, "h long, c long")
+    counts = seen.distinct().groupBy("h").count().filter(F.col("count") >= COMMON)
+    return np.sort(counts.orderBy(F.col("count").desc(), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy())
+
+
+def _emit(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Contexts of all texts of a task; equal texts of one task give theirs once.
 
     A context that a task meets twice is repeated, so its runs are told at once (late 0, dealt by text) and one row of it
@@ -235,35 +293,33 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
     seen: set[tuple[int, int]] = set()
 
-    def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        x = [np.concatenate(y) for y in zip(*held, strict=True)]
-        order = np.lexsort((x[1], x[0]))
-        x = [y[order] for y in x]
-        first = np.flatnonzero(np.r_[True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
-        counts = np.diff(np.r_[first, len(order)])
-        again = np.flatnonzero(np.repeat(counts > 1, counts))
-        runs, one = [y[again] for y in x], [y[first] for y in x]
-        late = np.r_[np.zeros(len(again), np.int32), np.ones(len(first), np.int32)]
-        key = np.r_[runs[2] ^ runs[4].astype(np.int64), one[0]]
-        whole = np.r_[np.ones(len(again), bool), counts > 1]
-        return batch_of(names, [pa.array(y) for y in (key, late, *(np.concatenate(y) for y in zip(runs, one, strict=True)), whole)], types)
-
+    def combined(lot: list[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        texts, ka, kb = map(list, zip(*lot, strict=True))
+        told, one = _combine(_contexts_of(texts, ka, kb))
+        hot = np.isin(one[0], common)
+        parts = [(told, 0), ([y[~hot] for y in one], 1)]
+        if hot.any():
+            told, one = _combine(_windows([y[hot] for y in one], texts))
+            parts += [(told, 0), (one, 1)]
+        for x, late in parts:
+            key = x[0] if late else x[2] ^ x[4].astype(np.int64)
+            for lo in range(0, len(key), 100_000):
+                rows = [y[lo : lo + 100_000] for y in (key, np.full(len(key), late, np.int32), *x[:7], x[7] | (late == 0))]
+                yield batch_of(names, [pa.array(y) for y in rows], types)
+
+    lot: list[tuple[bytes, int, int]] = []
+    size = 0
     for batch in batches:
-        ka, kb, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for k, (x, y, text) in enumerate(zip(ka, kb, texts, strict=True)):
+        for x, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
             if len(text) >= SPAN and (x, y) not in seen:
                 seen.add((x, y))
-                for h, first, n, a in contexts(text):
-                    view, xx = memoryview(text), xxhash.xxh64_intdigest
-                    ends = (first + n + SPAN - 1).tolist()
-                    c = np.array([xx(view[i:j], d) for i, j, d in zip(first.tolist(), ends, a.tolist(), strict=True)], np.uint64).view(np.int64)
-                    held.append((h, c, np.full(len(h), x, np.int64), np.full(len(h), y, np.int64), first.astype(np.int32), n.astype(np.int32), a.astype(np.int32)))
-                    size += len(h)
-            if size > LOT or (held and k == len(texts) - 1):
-                yield combined(held)
-                held, size = [], 0
+                lot.append((text, x, y))
+                size += len(text) // 60  # about as many contexts
+                if size > LOT:
+                    yield from combined(lot)
+                    lot, size = [], 0
+    if lot:
+        yield from combined(lot)
 
 
 _MEET = "ka long, kb long, lo int, hi int, h long, n int, a int, whole boolean"
@@ -349,12 +405,14 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     """(ka, kb, lo, hi): runs of bytes that repeated strings cover, of each different text of _named's rows."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    emitted = docs.select("ka", "kb", "text").mapInArrow(_emit, _EMIT)
+    common = common_anchors(docs)
+    emitted = docs.select("ka", "kb", "text").mapInArrow(lambda b: _emit(b, common), _EMIT)
     met = stored(emitted.repartition(n, "key").sortWithinPartitions("late", "h", "c").mapInArrow(_meet, _MEET), "contexts")
     asked = met.filter("h IS NOT NULL")
     text = F.encode("text", "UTF-8")
-    fetched = docs.select("ka", "kb", "text").join(asked, ["ka", "kb"]).select("h", "ka", "kb", F.col("lo").alias("at"), "n", "a", "whole", F.substring(text, F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("x"))
-    fetched = fetched.dropDuplicates(["h", "ka", "kb", "at"])  # equal texts of other tasks
+    once = docs.select("ka", "kb", "text").dropDuplicates(["ka", "kb"])  # equal texts are one before they meet what is asked
+    fetched = once.join(asked, ["ka", "kb"]).select("h", "ka", "kb", F.col("lo").alias("at"), "n", "a", "whole", F.substring(text, F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("x"))
+    fetched = fetched.dropDuplicates(["h", "ka", "kb", "at"])  # contexts that several tasks have met
     settled = fetched.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_settle, "ka long, kb long, lo int, hi int")
     copies = docs.groupBy("ka", "kb").agg(F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("hi")).filter(f"copies > 1 AND hi >= {SPAN}")
     return met.filter("h IS NULL").select("ka", "kb", "lo", "hi").union(stored(settled, "runs")).union(copies.select("ka", "kb", F.lit(0), "hi"))
@@ -388,6 +446,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bound_batches(df.sparkSession)
     docs = _named(df, id_col, text_col)
     runs = removed_runs(docs).groupBy("ka", "kb").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    joined = docs.join(runs, ["ka", "kb"], "left").select("doc_id", "text", "runs")
+    joined = join_dealt(docs, runs, ["ka", "kb"], F.monotonically_increasing_id(), docs.count(), "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return joined.mapInArrow(lambda b: _keep(b, with_text), schema)
