@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +28,8 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 #: Least overlap of passages in words, blocks of the bound over all passages, least items of a block.
 STRIDE, BLOCKS, BLOCK_ITEMS = 64, 32, 8
-#: Bytes of test items in one index; more items make more indexes, which take turns.
-INDEX_BYTES = 16 << 20
+#: Bytes of test items in one index, which is about eight times as large in memory; more items make more indexes, which take turns.
+INDEX_BYTES = 8 << 20
 TOKENS = 1 << 18
 #: Terms in at least this part of the items, and three, are common: their bound is the most that an item of the block has from all.
 COMMON = 0.02
@@ -67,48 +67,62 @@ class Statistics:
 class ItemIndex:
     """Inverted index of test items with block maxima. Size and cost are those of the items, not of the corpus.
 
-    `statistics` are those of all items where this index holds a part of them.
+    Postings lie in arrays, by term and block; of an item only the text is kept beside them. `statistics` are those of all
+    items where this index holds a part of them.
     """
 
     def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, overlap: float = OVERLAP, statistics: Statistics | None = None) -> None:
         self.threshold, self.overlap = threshold, overlap
         rows = [(i, t) for i, t in sorted(items) if words_of(t)]
-        self.ids = [i for i, _ in rows]
-        bags = [Counter(words_of(t)) for _, t in rows]
-        self.words = [words_of(t) for _, t in rows]
-        self.shingles = [_shingles(w) for w in self.words]
-        self.parts = [tuple(set(p) for p in _parts(t)) for _, t in rows]
+        self.ids, self.texts = [i for i, _ in rows], [t for _, t in rows]
+        bags = [Counter(words_of(t)) for t in self.texts]
+        sizes = [sum(bag.values()) for bag in bags]
         if statistics is None:
-            statistics = Statistics(len(rows), sum(map(len, self.words)) / max(1, len(rows)), max(map(len, self.words), default=0), Counter(w for bag in bags for w in bag))
+            statistics = Statistics(len(rows), sum(sizes) / max(1, len(rows)), max(sizes, default=0), Counter(w for bag in bags for w in bag))
         n_items, mean = statistics.items, statistics.mean
         self.stride = max(STRIDE, math.ceil(1.25 * statistics.longest))
         held = {w: statistics.held[w] for bag in bags for w in bag}
         self.terms = {w: k + 1 for k, w in enumerate(sorted(held))}
         self.block = max(BLOCK_ITEMS, -(-len(rows) // BLOCKS))
-        n_blocks = -(-len(rows) // self.block)
-        self.maxima = np.zeros((len(self.terms) + 1, max(1, n_blocks)), np.float32)
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)  # (term, block): (item, impact)
-        usual = np.zeros(len(rows))
+        self.blocks = max(1, -(-len(rows) // self.block))
+        scarce = np.array([False, *(held[w] < max(3, COMMON * n_items) for w in self.terms)])
+        n = sum(map(len, bags))
+        term, item, impact = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n)
+        lo = 0
         for i, bag in enumerate(bags):
-            norm = K1 * (1 - B + B * len(self.words[i]) / mean)
-            impact = {w: math.log(1 + (n_items - held[w] + 0.5) / (held[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in bag.items()}
-            total = sum(impact.values())
-            for w, x in impact.items():
-                t, b = self.terms[w], i // self.block
-                self.postings[t, b].append((i, x / total))
-                self.maxima[t, b] = max(self.maxima[t, b], np.float32(x / total))
-                if held[w] >= max(3, COMMON * n_items):
-                    usual[i] += x / total
-        for w, n in held.items():
-            if n >= max(3, COMMON * n_items):
-                self.maxima[self.terms[w]] = 0
+            norm = K1 * (1 - B + B * sizes[i] / mean)
+            hi = lo + len(bag)
+            df = np.array([held[w] for w in bag], float)
+            tf = np.array(list(bag.values()), float)
+            x = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
+            term[lo:hi], item[lo:hi], impact[lo:hi] = [self.terms[w] for w in bag], i, x / x.sum()
+            lo = hi
+        cell = term.astype(np.int64) * self.blocks + item // self.block
+        order = np.lexsort((item, cell))
+        self.item, self.impact = item[order], impact[order]
+        self.first = np.searchsorted(cell[order], np.arange((len(self.terms) + 1) * self.blocks + 1))
+        maxima = np.zeros((len(self.terms) + 1) * self.blocks, np.float32)
+        np.maximum.at(maxima, cell, impact.astype(np.float32))
+        self.maxima = maxima.reshape(-1, self.blocks) * scarce[:, None]
+        usual = np.bincount(item, np.where(scarce[term], 0.0, impact), len(rows)) if n else np.zeros(len(rows))
         self.scarce = self.maxima.any(axis=1)
         self.maxima *= np.float32(1.00001)  # the bounds stay bounds whatever the order of summation
         self.usual = np.array([usual[k : k + self.block].max() for k in range(0, len(rows), self.block)] or [0.0], np.float32) + np.float32(1e-5)
 
+    def words(self, item: int) -> list[bytes]:
+        return words_of(self.texts[item])
+
+    def shingles(self, item: int) -> set[tuple[bytes, ...]]:
+        return _shingles(self.words(item))
+
+    def postings(self, term: int, block: int) -> list[tuple[int, float]]:
+        """(item, impact) of a term in a block, by item."""
+        lo, hi = self.first[term * self.blocks + block : term * self.blocks + block + 2]
+        return list(zip(self.item[lo:hi].tolist(), self.impact[lo:hi].tolist(), strict=True))
+
     def wand(self, terms: set[int], block: int) -> list[tuple[int, float]]:
         """Items of the block that score at least the threshold for a query of distinct terms."""
-        lists = [p for t in sorted(terms) if (p := self.postings.get((t, block)))]
+        lists = [p for t in sorted(terms) if (p := self.postings(t, block))]
         tops = [max(x for _, x in p) for p in lists]
         at = [0] * len(lists)
         out = []
@@ -137,11 +151,12 @@ class ItemIndex:
 
     def verify(self, item: int, passage: list[bytes]) -> float | None:
         """The part of the item's shingles that stands in the passage, if that and both word overlaps suffice."""
-        size = min(SHINGLE, len(self.words[item]))
+        words = self.words(item)
+        size, own = min(SHINGLE, len(words)), _shingles(words)
         held = _shingles(passage, size) if len(passage) >= size else set()
-        part = len(self.shingles[item] & held) / len(self.shingles[item])
+        part = len(own & held) / len(own)
         there = set(passage)
-        if part < self.overlap or any(len(p & there) < self.overlap * len(p) for p in self.parts[item]):
+        if part < self.overlap or any(len(p & there) < self.overlap * len(p) for p in map(set, _parts(self.texts[item]))):
             return None
         return part
 
@@ -252,7 +267,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_leaked(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """df without the rows that contain a test item; all columns as they were."""
+    """df without the rows that contain a test item; all columns as they were, whatever their names.
+
+    Null and empty texts and items contain nothing, so such rows stay; repeated rows are judged alike; empty tables drop
+    nothing.
+    """
     bound_batches(df.sparkSession)
     at, schema = df.columns.index(text_col), df.schema
 

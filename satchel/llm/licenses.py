@@ -1,14 +1,15 @@
 """Licence scans: matching statistics of whole texts against a generalised suffix automaton of licence tokens.
 
-The automaton holds every template and every base phrase, word by word. A text streams through it once; at each word
-the state tells the longest run of words, ending there, that occurs in any template. Places of the base phrases and
-long matches are read off the states. Long matches of one template that follow each other closely are chained into
-spans, and a span that covers enough of its template adds the template's label.
+The automaton holds every template and every base phrase, word by word; of each state it knows all places in them where
+its words end. A text streams through it once; at each word the state tells the longest run of words, ending there, that
+occurs in any template. Places of the base phrases and long matches are read off the states. Long matches that follow
+each other in a text and in a template are chained into spans. A span adds its template's label if it covers enough of
+the template's words, and enough of its runs of words that tell its licence from the others.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import as_bytes, batch_of, keyed, map_batches
 
-# Phrases whose every place counts, and excerpts of public licence texts.
+# Phrases whose every place counts, and paragraphs of public licence texts and of the notices that they ask for.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
     "apache license": "apache",
@@ -27,33 +28,60 @@ BASE_PHRASES = {
 }
 TEMPLATES = {
     "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-        "Released under the MIT license",
-        "This text is distributed under the MIT license",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "apache": (
-        "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
-        "Licensed under the Apache License version 2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ),
     "gpl": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program.",
     ),
     "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
-    "cc-by": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
-        "Licensed under CC BY 4.0",
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     ),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License",),
+    "boost": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
+    "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",),
+    "cc0": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",),
 }
 
 #: A match counts from MIN_MATCH words on; matches of a template chain over at most MAX_GAP words; a span must cover
-#: MIN_COVER of its template's words for its label to count.
+#: MIN_COVER of its template's words, and of its runs of MIN_MATCH words that no other licence's templates hold, for its label to count.
 MIN_MATCH, MAX_GAP, MIN_COVER = 4, 6, 0.5
 
 _OTHER = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -67,33 +95,37 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word ids. Of each state: the transitions, suffix link, longest length and one place."""
+    """Generalised suffix automaton over word ids.
+
+    Of each state: the transitions, the suffix link, the greatest length and, once `settle` has run, all places (name,
+    last position) where its words end.
+    """
 
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    place: list[tuple[int, int]] = field(default_factory=lambda: [(-1, -1)])
+    places: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
 
-    def _state(self, step: dict, link: int, length: int, place: tuple[int, int]) -> int:
+    def _state(self, step: dict, link: int, length: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.place.append(place)
+        self.places.append([])
         return len(self.step) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        copy = self._state(dict(self.step[q]), self.link[q], self.length[p] + 1, self.place[q])
+        copy = self._state(dict(self.step[q]), self.link[q], self.length[p] + 1)
         self.link[q] = copy
         while p >= 0 and self.step[p].get(c) == q:
             self.step[p][c] = copy
             p = self.link[p]
         return copy
 
-    def extend(self, last: int, c: int, place: tuple[int, int]) -> int:
+    def extend(self, last: int, c: int) -> int:
         q = self.step[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new, p = self._state({}, 0, self.length[last] + 1, place), last
+        new, p = self._state({}, 0, self.length[last] + 1), last
         while p >= 0 and c not in self.step[p]:
             self.step[p][c] = new
             p = self.link[p]
@@ -102,11 +134,17 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def add(self, ids: Iterable[int], name: int) -> int:
+    def add(self, ids: Iterable[int], name: int) -> None:
         last = 0
         for k, c in enumerate(ids):
-            last = self.extend(last, c, (name, k))
-        return last
+            last = self.extend(last, c)
+            self.places[last].append((name, k))
+
+    def settle(self) -> None:
+        """Give every state the places of the longer ones that end with its words."""
+        for s in sorted(range(1, len(self.step)), key=self.length.__getitem__, reverse=True):
+            if self.link[s] > 0:
+                self.places[self.link[s]] += self.places[s]
 
 
 class LicenseIndex:
@@ -121,24 +159,19 @@ class LicenseIndex:
         number = lambda text: [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text.encode())]
         self.templates = [(label, number(text)) for label, texts in templates.items() for text in texts]
         self.phrases = [(label, number(text)) for text, label in phrases.items()]
-        for k, (_, ids) in enumerate(self.templates):
+        for k, (_, ids) in enumerate(self.templates + self.phrases):
             self.automaton.add(ids, k)
-        for k, (_, ids) in enumerate(self.phrases):
-            self.automaton.add(ids, len(self.templates) + k)
-        self.at: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # where a run of min_match words stands
-        for k, (_, ids) in enumerate(self.templates):
-            for j in range(len(ids) - min_match + 1):
-                self.at[tuple(ids[j : j + min_match])].append((k, j))
-        self.ends: list[list[int]] = [[] for _ in self.automaton.step]
-        for k, (_, ids) in enumerate(self.phrases):
-            state = 0
-            for c in ids:
-                state = self.automaton.step[state][c]
-            self.ends[state].append(k)
-        for s in sorted(range(len(self.ends)), key=self.automaton.length.__getitem__):
-            if self.automaton.link[s] > 0:
-                self.ends[s] = self.ends[s] + self.ends[self.automaton.link[s]]
+        self.automaton.settle()
+        first = len(self.templates)
+        self.ends = [[p - first for p, k in places if p >= first and k == len(self.phrases[p - first][1]) - 1] for places in self.automaton.places]
         self.shortest = min([len(ids) for _, ids in self.phrases] + [min_match])
+        holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        runs = lambda ids: ((j, tuple(ids[j : j + min_match])) for j in range(len(ids) - min_match + 1))
+        for label, ids in self.templates:
+            for _, run in runs(ids):
+                holders[run].add(label)
+        # Of each template, where the runs of min_match words begin that no other licence's templates hold.
+        self.telling = [{j for j, run in runs(ids) if len(holders[run]) == 1} for _, ids in self.templates]
 
     def stream(self, ids: list[int]) -> Iterable[tuple[int, int, int]]:
         """(word, state, matched length) for each word of ids: the matching statistics."""
@@ -162,49 +195,70 @@ class LicenseIndex:
         return list(zip(lo[keep].tolist(), hi[keep].tolist(), strict=True))
 
     def scan(self, words: list[bytes]) -> dict:
-        """Base places (start, label), long matches and template spans (start, end, label, covered part) of a text."""
+        """Base places (start, label), long matches (start, size, state) and spans (start, end, label, covered part)."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         base, matches = [], []
         for lo, hi in self._runs(ids):
-            run, before, before_length = ids[lo:hi].tolist(), None, 0
-            for k, state, matched in self.stream(run):
+            last, held = 0, 0
+            for k, state, matched in self.stream(ids[lo:hi].tolist()):
                 for p in self.ends[state]:
                     if len(self.phrases[p][1]) <= matched:
                         base.append((lo + k + 1 - len(self.phrases[p][1]), self.phrases[p][0]))
-                if before is not None and matched != before_length + 1 and before_length >= self.min_match:
-                    matches.append((lo + before + 1 - before_length, before_length))
-                before, before_length = k, matched
-            if before_length >= self.min_match:
-                matches.append((lo + before + 1 - before_length, before_length))
-        return {"n_words": len(words), "base": sorted(base), "matches": matches, "spans": self._chain(ids, matches)}
-
-    def _chain(self, ids: np.ndarray, matches: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
-        placed: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for start, size in matches:
-            for k, j in self.at.get(tuple(ids[start : start + self.min_match].tolist()), ()):
-                template, n = self.templates[k][1], 0
-                while n < size and j + n < len(template) and template[j + n] == ids[start + n]:
-                    n += 1
-                placed[k].append((start, j, n))
+                if matched != held + 1 and held >= self.min_match:
+                    matches.append((lo + k - held, held, last))
+                last, held = state, matched
+            if held >= self.min_match:
+                matches.append((hi - held, held, last))
+        return {"n_words": len(words), "base": sorted(base), "matches": matches, "spans": self._spans(matches)}
+
+    def _spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """Of each template the chains of matches that cover most of it, none of which share a match."""
+        placed: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # (start in the text, start in the template, words)
+        for start, size, state in matches:
+            end = start + size
+            seen: set[tuple[int, int]] = set()
+            while state > 0 and size >= self.min_match:
+                for k, last in self.automaton.places[state]:
+                    if k < len(self.templates) and (k, last) not in seen:
+                        seen.add((k, last))
+                        placed[k].append((end - size, last + 1 - size, size))
+                state = self.automaton.link[state]
+                size = self.automaton.length[state]
         spans = []
         for k, parts in placed.items():
             label, template = self.templates[k]
-            chain: list[tuple[int, int, int]] = []
-
-            def close(chain=chain, label=label, template=template) -> None:
-                covered = len({j + d for _, j, n in chain for d in range(n)}) / len(template)
-                if covered >= self.min_cover:
+            for chain in self._chains(sorted(parts)):
+                held = {j + d for _, j, n in chain for d in range(n)}
+                covered, telling = len(held) / len(template), self.telling[k]
+                told = {j + d for _, j, n in chain for d in range(n - self.min_match + 1)} & telling
+                if covered >= self.min_cover and telling and len(told) >= self.min_cover * len(telling):
                     spans.append((chain[0][0], chain[-1][0] + chain[-1][2], label, covered))
-                chain.clear()
+        return sorted(spans)
 
-            for part in sorted(parts):
-                if chain and (part[0] > chain[-1][0] + chain[-1][2] + self.max_gap or part[1] < chain[-1][1] + chain[-1][2] - self.min_match):
-                    close()
-                chain.append(part)
+    def _chains(self, parts: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+        """Chains of parts that go on in text and template over gaps of max_gap words at most, the longest first."""
+        best: list[tuple[int, int]] = []  # (words covered by the best chain that ends here, the part before)
+        near: deque[int] = deque()
+        for i, (start, at, n) in enumerate(parts):
+            near = deque(x for x in near if parts[x][0] + parts[x][2] + self.max_gap >= start)
+            own = (n, -1)
+            for x in near:
+                s, a, m = parts[x]
+                if s < start and a < at and a + m < at + n:
+                    own = max(own, (best[x][0] + n - max(0, a + m - at), x))
+            best.append(own)
+            near.append(i)
+        out, used = [], set()
+        for i in sorted(range(len(parts)), key=lambda x: (-best[x][0], x)):
+            chain, x = [], i
+            while x >= 0 and x not in used:
+                chain.append(x)
+                x = best[x][1]
             if chain:
-                close()
-        return sorted(spans)
+                used.update(chain)
+                out.append([parts[x] for x in reversed(chain)])
+        return out
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LicenseIndex | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of key-like characters. Their features are length, shares and transitions of character classes,
-variety, coverage by dictionary words, words of the path and of the text on either side. The forest is trained on
-labelled findings, by default on a generated set of the kinds that scanners see, and applied inside the JVM.
+Candidates are private-key blocks, signed tokens, whatever a key word is assigned, and long runs of key-like characters;
+none is ruled out before the forest. Features are length, shares and transitions of character classes, variety, coverage
+by dictionary words, words of the path and of the text on either side. The forest is trained on labelled findings, by
+default on a generated set of the kinds that scanners see, and applied inside the JVM.
 """
 
 from __future__ import annotations
@@ -17,20 +18,30 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh_name, stored
+
 # What a candidate looks like, and the words that features look for.
-CANDIDATE = "[A-Za-z0-9+/_-]{16,}={0,2}"
-PLAUSIBLE = "[0-9]|[a-z][A-Z]|^[A-Z]{16,}$"
-KNOWN_FORMAT = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}|^xox[abprs]-|^sk[-_](live|test)?|^AIza[A-Za-z0-9_-]{20,}|^eyJ[A-Za-z0-9_-]{10,}|^glpat-"
-DICTIONARY = "(example|sample|dummy|placeholder|changeme|password|secret|token|access|private|public|version|commit|release|config|default|student|number|section|image|static|assets|script|index|docs|page|file|user|test|your|name|this|that|here|abcdef|123456|xxxx|0000|lorem|ipsum|tion|with|from|the|and|ing|key|com|org|net|http|www)"
-KEY_WORDS = "(?i)(token|secret|passw(or)?d|passwd|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|credential|private[_ -]?key|bearer|client[_ -]?secret)"
+KEY_NAMES = "(?i:passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_ -]?keys?|access[_ -]?keys?|private[_ -]?keys?|secret[_ -]?keys?|credentials?)"
+ASSIGNED = KEY_NAMES + "[\"'`]?\\s{0,3}(?:=>|:=|=|:)\\s{0,3}"
+CANDIDATE = "|".join((
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    ASSIGNED + "(?:\"[^\"\\n]{1,128}(?=\")|'[^'\\n]{1,128}(?=')|`?[^\\s\"'`]*[^\\s\"'`.,;:)\\]}>])",
+    "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}(?:\\.[A-Za-z0-9_-]+)?",
+    "[A-Za-z0-9+/_-]{16,}={0,2}",
+))
+#: What stands in front of an assigned value and is no part of it.
+PREFIX = "^" + ASSIGNED + "[\"'`]?"
+KNOWN_FORMAT = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{20,}|^xox[abprs]-|^sk[-_](live|test)?|^AIza[A-Za-z0-9_-]{20,}|^eyJ[A-Za-z0-9_-]{8,}\\.|^glpat-|^-----BEGIN "
+DICTIONARY = "(example|sample|dummy|placeholder|changeme|password|secret|token|access|private|public|version|commit|release|config|default|student|number|section|image|static|assets|script|index|docs|page|file|user|test|your|name|this|that|here|there|where|which|value|string|none|null|true|false|required|optional|invalid|missing|empty|expired|forgotten|reset|given|some|will|must|should|have|been|were|they|about|after|before|other|first|under|over|more|than|into|only|also|very|must|abcdef|123456|xxxx|0000|lorem|ipsum|environ|getenv|tion|with|from|the|and|ing|key|com|org|net|http|www)"
+KEY_WORDS = "(?i)(token|secret|passw(or)?d|passwd|passphrase|pwd|api[_ -]?key|apikey|access[_ -]?key|auth|credential|private[_ -]?key|bearer|client[_ -]?secret)"
 OTHER_WORDS = "(?i)(sha-?1|sha-?256|md5|commit|checksum|digest|hash|etag|revision|uuid|guid|build|isbn|example|sample|dummy|placeholder|integrity)"
 TEST_PATH = "(?i)(test|example|sample|mock|fixture|docs?/|spec)"
 
 #: Characters on either side that count as neighbours; trees, their depth, and the share of votes that makes a secret.
-NEIGHBOURS, TREES, DEPTH, LEAST = 32, 20, 6, 0.5
+NEIGHBOURS, TREES, DEPTH, LEAST = 32, 20, 8, 0.5
 #: Generated findings of either label.
-FINDINGS = 1500
-FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_variety", "f_turns", "f_words", "f_known", "f_key", "f_other", "f_assigned", "f_quoted", "f_slash", "f_test_path")
+FINDINGS = 2400
+FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_symbols", "f_hex", "f_variety", "f_turns", "f_words", "f_known", "f_key", "f_other", "f_assigned", "f_quoted", "f_slash", "f_spaces", "f_reference", "f_test_path")
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -49,6 +60,7 @@ def with_features(df: DataFrame) -> DataFrame:
         "f_digits": shared("[0-9]"),
         "f_upper": shared("[A-Z]"),
         "f_lower": shared("[a-z]"),
+        "f_symbols": shared("[^A-Za-z0-9\\s]"),
         "f_hex": flag(c, "^([0-9a-f]+|[0-9A-F]+)$"),
         "f_variety": F.size(F.array_distinct(F.split(c, ""))).cast("double") / n,
         "f_turns": shared("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"),
@@ -59,6 +71,8 @@ def with_features(df: DataFrame) -> DataFrame:
         "f_assigned": flag(before, "[=:]\\s*[\"'`]?$"),
         "f_quoted": flag(after, "^[\"'`]"),
         "f_slash": F.when(c.contains("/") | before.endswith("/") | after.startswith("/") | after.startswith("."), 1.0).otherwise(0.0),
+        "f_spaces": shared("\\s"),
+        "f_reference": flag(c, "^[$<({%*]|[(]|^[A-Za-z_]+([.][A-Za-z_]+)+$|^[*.]+$"),
         "f_test_path": flag(path, TEST_PATH),
     })
 
@@ -73,18 +87,38 @@ def labelled_findings(spark: SparkSession, each: int = FINDINGS, seed: int = 6)
     paths = ("", "src/app.py", "src12", "notes.txt", "web/main.js", "config/prod.yml")
     key_names = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth_token", "client_secret", "pwd")
     other_names = ("commit", "sha256", "md5", "checksum", "etag", "digest", "revision", "build", "hash")
+    common = ("horse", "battery", "winter", "summer", "dragon", "hunter", "monkey", "coffee", "purple", "river", "garden", "silver")
+    symbols = "!@#&*?+-_."
+    assign = lambda names: r.choice(names) + r.choice(("=", " = ", ": ", ":"))
+
+    def chosen() -> str:
+        """A password as people make them."""
+        made = r.choice((
+            lambda: r.choice(common) + pick(string.digits, r.randint(1, 4)) + pick(symbols, r.randint(0, 1)),
+            lambda: r.choice(common).capitalize() + pick(string.digits, r.randint(1, 4)) + pick(symbols, r.randint(0, 2)),
+            lambda: "".join(r.sample(common, r.randint(3, 5))),
+            lambda: pick(string.ascii_letters + string.digits + symbols, r.randint(8, 18)),
+            lambda: r.choice(common).translate(str.maketrans("aeio", "4310")) + pick(symbols, 1) + pick(string.digits, r.randint(1, 3)),
+            lambda: pick(string.ascii_lowercase, r.randint(3, 8)) + pick(string.digits, r.randint(1, 3)) + pick(string.ascii_lowercase, r.randint(2, 4)),
+        ))
+        return made()
+
     rows = []
     for k in range(each):
         q = r.choice(("", "", '"', "'"))
-        if k % 3 == 0:
-            made = r.choice((lambda: "AKIA" + pick(base32 + "0189", 16), lambda: "ghp_" + pick(base64, 36), lambda: "sk_live_" + pick(base64, 24), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(base64, 24)))()
+        kind = k % 6
+        if kind < 2:
+            made = r.choice((lambda: "AKIA" + pick(base32 + "0189", 16), lambda: "ghp_" + pick(base64, 36), lambda: "sk_live_" + pick(base64, 24), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(base64, 24), lambda: "eyJ" + pick(base64, 20) + "." + pick(base64 + "-_", 40) + "." + pick(base64 + "-_", 43), lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(base64 + "+/", 64) + "\n-----END RSA PRIVATE KEY-----"))()
             before = prose(4) + r.choice((" ", f" key = {q}", f" {r.choice(key_names)}={q}"))
-        else:
+        elif kind < 4:
             made = r.choice((lambda: pick(hexes, r.choice((16, 18, 20, 24, 32, 40, 64))), lambda: pick(base64, r.randint(16, 44)), lambda: pick(base64 + "+/", 40)))()
-            before = prose(4) + " " + r.choice(key_names) + r.choice(("=", " = ", ": ", ":")) + q
+            before = prose(4) + " " + assign(key_names) + q
+        else:
+            made, before = chosen(), prose(4) + " " + assign(key_names) + q
         rows.append((made, before[-NEIGHBOURS:], (q + " " + prose(3))[:NEIGHBOURS], r.choice(paths), 1.0))
+    nothing = ("required", "the", "value", "string", "none", "null", "None", "true", "your", "is", "missing", "expired", "yourpassword", "reset", "forgotten", "<your-token>", "${TOKEN}", "$SECRET", "{{ password }}", "****", "os.environ", "config.password", "getenv(", "input(", "example", "changeme", "password", "[redacted]", "[SECRET]")
     for k in range(each):
-        kind, q, path = k % 8, r.choice(("", '"')), r.choice(paths)
+        kind, q, path = k % 11, r.choice(("", '"')), r.choice(paths)
         before = prose(4) + " "
         if kind == 0:
             made, before = pick(hexes, r.choice((32, 40, 64))), prose(3) + " " + r.choice(other_names) + r.choice((" ", ": ", "=", " = "))
@@ -100,8 +134,14 @@ def labelled_findings(spark: SparkSession, each: int = FINDINGS, seed: int = 6)
             made = pick(string.digits, r.randint(16, 20))
         elif kind == 6:
             made, before, path = pick(hexes, 40), prose(2) + f" {r.choice(key_names)} = {q}", r.choice(("tests/test_auth.py", "docs/example.md", "fixtures/mock.json"))
-        else:
+        elif kind == 7:
             made = pick(hexes, r.choice((20, 32, 40)))
+        elif kind == 8:
+            made = (word() * 6)[: r.randint(16, 30)]
+        elif kind == 9:
+            made, before = r.choice(nothing), prose(2) + " " + assign(key_names) + q
+        else:
+            made, before = prose(r.choice((1, 1, 4))), prose(2) + " " + assign(key_names) + q
         rows.append((made, before[-NEIGHBOURS:], (q + " " + prose(3))[:NEIGHBOURS], path, 0.0))
     return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label double")
 
@@ -112,31 +152,34 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_v"), forest]).fit(with_features(findings))
 
 
-def _places(rows: DataFrame, key: str, text: str, path: str) -> DataFrame:
+def _places(rows: DataFrame, key: str, text: str, path: Column) -> DataFrame:
     """(key, start, candidate, before, after, path): every candidate of every whole text, by place."""
-    rows = rows.select(F.col(key), F.col(text).alias("_text"), F.col(path).alias("path"))
-    rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).filter(F.exists("_found", lambda x: x.rlike(PLAUSIBLE)))
+    rows = rows.select(F.col(key), F.col(text).cast("string").alias("_text"), path.alias("path"))
+    rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("_found") > 0)
     rows = rows.withColumn("_between", F.split("_text", CANDIDATE, -1)).drop("_text")
-    # Where each candidate ends, from one running sum over the document.
+    # Where each match ends, from one running sum over the document; the value is the match without its prefix.
     steps = F.transform("_found", lambda x, i: F.length(F.get("_between", i)) + F.length(x))
     add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"] + x)).alias("all"))
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     rows = rows.withColumn("_ends", F.aggregate(steps, nothing, add, lambda s: s["all"]))
     made = F.transform("_found", lambda x, i: F.struct(
-        (F.get("_ends", i) - F.length(x)).cast("long").alias("start"),
-        x.alias("candidate"),
-        F.right(F.get("_between", i), F.lit(NEIGHBOURS)).alias("before"),
+        F.get("_ends", i).alias("end"),
+        x.alias("match"),
+        F.regexp_replace(x, PREFIX, "").alias("candidate"),
+        F.right(F.get("_between", i), F.lit(NEIGHBOURS)).alias("between"),
         F.left(F.get("_between", i + 1), F.lit(NEIGHBOURS)).alias("after"),
     ))
-    kept = F.filter(made, lambda x: x["candidate"].rlike(PLAUSIBLE))
-    return rows.select(key, "path", F.explode(kept).alias("_x")).select(key, "_x.*", "path")
+    out = rows.select(key, "path", F.explode(made).alias("_x")).select(key, "path", "_x.*")
+    size = F.length("candidate")
+    before = F.concat("between", F.left("match", F.length("match") - size))
+    return out.select(key, (F.col("end") - size).cast("long").alias("start"), "candidate", F.right(before, F.lit(NEIGHBOURS)).alias("before"), "after", "path")
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, start, candidate, before, after, path): every candidate of every whole text, by place."""
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
-    return _places(rows, "doc_id", "text", "path")
+    return _places(rows, "doc_id", "text", F.col("path"))
 
 
 def find_secrets(df: DataFrame, model: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, least: float = LEAST) -> DataFrame:
@@ -151,21 +194,21 @@ def find_secrets(df: DataFrame, model: PipelineModel | None = None, id_col: str
     return scored.filter(F.col("score") >= least).select("doc_id", "start", F.col("candidate").alias("secret"), kind.alias("kind"), "score")
 
 
-def redact(df: DataFrame, model: PipelineModel | None = None, text_col: str = "text", path_col: str | None = None, mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+def redact(df: DataFrame, model: PipelineModel | None = None, text_col: str = "text", path_col: str | None = None, mark: str = "[SECRET]", length_col: str | None = None, least: float = LEAST) -> DataFrame:
     """df with every secret in its texts replaced by mark; length_col, where given, follows the new text. Rows all stay.
 
-    Rows without a plausible candidate are passed on as they are. The others are matched to their findings by a digest of text and
-    path, so null, repeated and clashing ids do no harm.
+    Null and empty texts stay as they are. Rows get a number of their own for the time being, so null, repeated and
+    clashing ids do no harm, equal texts are no hot group, and columns of any name may be there. An empty table gives an
+    empty table.
     """
     model = model or train(labelled_findings(df.sparkSession))
-    names = df.columns
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    may = F.coalesce(F.exists(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike(PLAUSIBLE)), F.lit(False))
-    some = df.filter(may).withColumn("_key", F.sha2(F.concat(path, F.lit("\n"), text_col), 256))
-    texts = some.groupBy("_key").agg(F.first(text_col).alias("_t"), F.first(path).alias("_path"))
-    scored = model.transform(with_features(_places(texts, "_key", "_t", "_path"))).filter(vector_to_array("_p")[1] >= LEAST)
+    row, spans, new = (fresh_name(df, x) for x in ("row", "spans", "new"))
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    path = F.col(path_col).cast("string") if path_col else F.lit("")
+    scored = model.transform(with_features(_places(rows, row, text_col, path))).filter(vector_to_array("_p")[1] >= least)
     span = F.struct("start", F.length("candidate").cast("long").alias("size"))
-    spans = scored.groupBy("_key").agg(F.array_sort(F.collect_set(span)).alias("_spans"))
+    # Stored first, so that Spark knows whether they are few enough to reach the texts without a shuffle of these.
+    found = stored(scored.groupBy(row).agg(F.array_sort(F.collect_list(span)).alias(spans)), "spans")
     whole = F.col(text_col)
     nothing = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -174,8 +217,8 @@ def redact(df: DataFrame, model: PipelineModel | None = None, text_col: str = "t
         return F.struct((x["start"] + x["size"] + 1).alias("at"), F.concat(s["out"], before, F.lit(mark)).alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(whole, s["at"].cast("int"), F.length(whole)))
-    joined = some.join(spans, "_key", "left").withColumn("_new", F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", nothing, step, rest)).otherwise(whole))
-    changed = {text_col: F.col("_new")}
+    joined = rows.join(found, row, "left").withColumn(new, F.when(F.col(spans).isNotNull(), F.aggregate(spans, nothing, step, rest)).otherwise(whole))
+    changed = {text_col: F.col(new)}
     if length_col:
-        changed[length_col] = F.when(F.col("_spans").isNotNull(), F.length("_new").cast(df.schema[length_col].dataType)).otherwise(F.col(length_col))
-    return df.filter(~may).unionByName(joined.withColumns(changed).select(*names))
+        changed[length_col] = F.when(F.col(spans).isNotNull(), F.length(new).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col))
+    return joined.withColumns(changed).select(*df.columns)

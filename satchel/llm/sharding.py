@@ -2,20 +2,27 @@
 
 Arrivals are appended as small immutable Parquet shards. Shards of one size tier (a power of the fan-out over the base
 size) are merged, once there are enough of them, into files of the target size. Which shards are live is told by
-manifests alone: version n+1 is written beside version n and renamed into place, never over an existing one, so a
-reader sees one whole version or the other, and of two writers one fails and can try again.
+manifests alone: version n+1 appears beside version n as a whole or not at all, and never over an existing one, so a
+reader sees one whole version or the other, and of two writers one fails and can try again. Where the store can rename
+at once, a finished file is renamed into place on condition that nothing is there; object stores, which copy to rename
+but show a file only once it is closed, are asked to create it on that condition.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_BYTES, TARGET_BYTES, FANOUT = 1 << 20, 64 << 20, 4
+#: Schemes of object stores. Seconds after which data that no manifest names was left by a failed writer.
+OBJECT_STORES = ("s3a", "s3", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+ORPHANED = 86_400
 #: A shard at least this part of the target is done and not merged again.
 FULL = 0.5
 
@@ -31,7 +38,11 @@ class Shard:
 
 
 class ShardStore:
-    """A table of shards under root, which any store that Hadoop can reach may hold."""
+    """A table of shards under root, which any store that Hadoop can reach may hold.
+
+    Rows are kept as they come: nulls, empty and long texts, repeated rows and columns of any name are data like any
+    other. An empty arrival makes a version with no new rows; a table that nothing was appended to cannot be read.
+    """
 
     def __init__(self, spark: SparkSession, root: str, base_bytes: int = BASE_BYTES, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> None:
         if not 0 < base_bytes <= target_bytes or fanout < 2:
@@ -41,6 +52,13 @@ class ShardStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/_manifest"))
+        options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._rename_once = spark.sparkContext._gateway.new_array(options, 1)
+        self._rename_once[0] = options.NONE
+        self._files = None if self._fs.getUri().getScheme() in OBJECT_STORES else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
+
+    def _qualified(self, path):
+        return self._fs.makeQualified(path)
 
     # manifests
 
@@ -69,14 +87,21 @@ class ShardStore:
     def _commit(self, after: dict, schema: str, shards: list[Shard], why: str) -> int:
         version = after["version"] + 1
         body = json.dumps({"version": version, "schema": schema, "why": why, "shards": [asdict(x) for x in shards]})
-        part = self._path(f"{self.root}/_manifest/.{uuid.uuid4().hex}")
-        out = self._fs.create(part, False)
-        out.write(bytearray(body.encode()))
-        out.close()
         final = self._path(self._name(version))
-        if self._fs.exists(final) or not self._fs.rename(part, final):
-            self._fs.delete(part, False)
-            raise CommitConflict(f"version {version} exists")
+        direct = self._fs.getUri().getScheme() in OBJECT_STORES
+        part = final if direct else self._path(f"{self.root}/_manifest/.{uuid.uuid4().hex}")
+        try:
+            out = self._fs.create(part, False)
+            out.write(bytearray(body.encode()))
+            out.close()
+            if not direct:
+                self._files.rename(self._qualified(part), self._qualified(final), self._rename_once)
+        except Py4JJavaError as e:
+            if not direct:
+                self._fs.delete(part, False)
+            if self._fs.exists(final):
+                raise CommitConflict(f"version {version} exists") from e
+            raise
         return version
 
     # data
@@ -116,7 +141,8 @@ class ShardStore:
             if not old:
                 return now["version"]
             files = max(1, round(sum(x.size for x in old) / self.target))
-            merged = self._write(self._load(old, now["schema"]).coalesce(files))
+            rows = self._load(old, now["schema"])
+            merged = self._write(rows.coalesce(files), -(-rows.count() // files))
             gone = {x.path for x in old}
             self._commit(now, now["schema"], [x for x in live if x.path not in gone] + merged, f"merge {len(old)} into {len(merged)}")
 
@@ -135,14 +161,24 @@ class ShardStore:
             raise ValueError("nothing has been appended yet")
         return self._load([Shard(**x) for x in now["shards"]], now["schema"])
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete data files that none of the last `keep` versions names, and the manifests before those."""
+    def vacuum(self, keep: int = 2, orphaned: int = ORPHANED) -> int:
+        """Delete data files that none of the last `keep` versions names, and the manifests before those.
+
+        Folders that no manifest names at all go `orphaned` seconds after they were written: a writer failed before its commit.
+        """
         versions = self.versions()
         kept = versions[-keep:]
         live = {x.path for v in kept for x in self.shards(v)}
-        dead = {x.path for v in versions for x in self.shards(v)} - live
+        known = {x.path for v in versions for x in self.shards(v)}
+        dead = known - live
         for x in dead:
             self._fs.delete(self._path(self.root + x), False)
         for v in versions[:-keep]:
             self._fs.delete(self._path(self._name(v)), False)
+        folders = {x.rpartition("/")[0].rpartition("/")[2] for x in live}
+        data = self._path(f"{self.root}/data")
+        for s in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            name, age = s.getPath().getName(), time.time() - s.getModificationTime() / 1000
+            if name not in folders and (age > orphaned or any(x.startswith(f"/data/{name}/") for x in dead)):
+                self._fs.delete(s.getPath(), True)
         return len(dead)

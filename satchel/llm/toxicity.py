@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, map_batches
+from .common import as_bytes, batch_of, bound_batches, keyed, map_batches
 
 #: Bounds of the training sample: documents of either label, and bytes of one of them.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 40_000
@@ -110,17 +111,26 @@ def _normal(m: np.ndarray) -> np.ndarray:
     return m / m.sum()
 
 
-def seeds(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
-    """Features that together explain the toxic documents: greedy cover by those that are far more frequent in them.
+def _all_features(text: bytes) -> set[bytes]:
+    return {f for w in set(words_of(text)) for f in features_of(w)}
 
-    A feature qualifies if of equally many toxic and clean documents that hold it, a share of PURITY would be toxic.
+
+def seeds(toxic: list[bytes], clean: list[bytes]) -> set[bytes]:
+    """Features that together explain the toxic texts: greedy cover by those that are far more frequent in them.
+
+    A feature qualifies if of equally many toxic and clean texts that hold it, a share of PURITY would be toxic. Texts are
+    cut into words one at a time, and only features that enough toxic texts hold are kept with the numbers of these.
     """
-    held: dict[bytes, set[int]] = defaultdict(set)
-    for k, words in enumerate(toxic):
-        for f in {f for w in set(words) for f in features_of(w)}:
-            held[f].add(k)
-    touched = Counter(f for words in clean for f in {f for w in set(words) for f in features_of(w)} if f in held)
     least = max(3, len(toxic) // 150)
+    hashed = [np.fromiter(map(xxhash.xxh64_intdigest, _all_features(t)), np.uint64) for t in toxic]
+    values, counts = np.unique(np.concatenate([*hashed, np.zeros(0, np.uint64)]), return_counts=True)
+    frequent = set(values[counts >= least].tolist())
+    held: dict[bytes, set[int]] = defaultdict(set)
+    for k, t in enumerate(toxic):
+        for f in _all_features(t):
+            if xxhash.xxh64_intdigest(f) in frequent:
+                held[f].add(k)
+    touched = Counter(f for t in clean for f in _all_features(t) if f in held)
     worth: dict[bytes, float] = {}
     for f, docs in held.items():
         if len(docs) >= least:
@@ -170,27 +180,32 @@ def fit(toxic_texts: list[bytes], clean_texts: list[bytes], weight: tuple[float,
 
     Without a toxic document the model finds nothing toxic.
     """
-    toxic, clean = [words_of(x) for x in toxic_texts], [words_of(x) for x in clean_texts]
-    marks = seeds(toxic, clean)
+    marks = seeds(toxic_texts, clean_texts)
     marked = lambda w: any(f in marks for f in features_of(w))
-    seen = Counter(f for words in toxic for w in set(words) if marked(w) for f in features_of(w))
+    seen = Counter(f for text in toxic_texts for w in set(words_of(text)) if marked(w) for f in features_of(w))
     number = {f: k + 1 for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 2 or f in marks))}
     wide = 1 + len(PREFIXES)
-    rich, plain = [], []
-    for label, group in ((1, toxic), (0, clean)):
-        for words in group:
+    rich: list[tuple[np.ndarray, np.ndarray, int]] = []
+    plain: list[int] = []  # the sizes of sequences without any feature
+    for label, group in ((1, toxic_texts), (0, clean_texts)):
+        for text in group:
+            words = words_of(text)
+            known = {w: own for w in set(words) if (own := [number[f] for f in features_of(w) if f in number])}
             for lo in range(0, len(words), SEGMENT):
                 part = words[lo : lo + SEGMENT]
+                if known.keys().isdisjoint(part):
+                    plain.append(len(part))
+                    continue
                 ids = np.zeros((SEGMENT, wide), np.int32)
                 gold = np.zeros(SEGMENT, np.int8)
                 for k, w in enumerate(part):
-                    own = [number[f] for f in features_of(w) if f in number]
+                    own = known.get(w, ())
                     ids[k, : len(own)] = own
                     gold[k] = label and marked(w)
-                (rich if ids.any() else plain).append((ids, gold, len(part)))
+                rich.append((ids, gold, len(part)))
     rng = np.random.default_rng(seed)
-    plain = [plain[k] for k in sorted(rng.permutation(len(plain))[:PLAIN_SEGMENTS])]
-    parts = rich + plain
+    some = sorted(rng.permutation(len(plain))[:PLAIN_SEGMENTS])
+    parts = rich + [(np.zeros((SEGMENT, wide), np.int32), np.zeros(SEGMENT, np.int8), plain[k]) for k in some]
     weights, bias, step, start = np.zeros(len(number) + 1), -4.0, np.zeros((2, 2)), 0.0
     if rich:
         weights, bias, step, start = _ascend(*(np.stack(x) for x in zip(*((i, g) for i, g, _ in parts), strict=True)), np.array([n for *_, n in parts]), len(number) + 1)
@@ -199,8 +214,8 @@ def fit(toxic_texts: list[bytes], clean_texts: list[bytes], weight: tuple[float,
     for text in toxic_texts + clean_texts:
         words, found = scorer.tag(text)
         rows.append(_summary(_by_word(words, found), len(words)))
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    if rich and clean:
+    y = np.r_[np.ones(len(toxic_texts)), np.zeros(len(clean_texts))]
+    if rich and clean_texts:
         crf.document = _logistic(np.array(rows), y, np.where(y == 1, *weight))
     return crf
 
@@ -294,59 +309,81 @@ class Scorer:
         lifts = [(k, x) for k, x in enumerate(map(known.__getitem__, words)) if x is not None]
         return words, list(zip((k for k, _ in lifts), self.crf.marginals(lifts, len(words)), strict=True))
 
-    def judge(self, text: bytes) -> tuple[float, int]:
-        """The document's score and its number of words that are more likely toxic than not."""
+    def judge(self, text: bytes) -> tuple[float, list[tuple[int, float]]]:
+        """The document's score, and the words (position, P(toxic)) that are more likely toxic than not.
+
+        A text without any feature is scored by its length alone. A model that knows no toxic text scores 0.
+        """
         words, found = self.tag(text)
         beta = self.crf.document
-        if beta is None or not found:
-            return 0.0, 0
+        if beta is None:
+            return 0.0, []
         z = float(np.dot(beta[:-1], _summary(_by_word(words, found), len(words))) + beta[-1])
-        return 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, z)))), sum(p >= 0.5 for _, p in found)
+        return 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, z)))), [x for x in found if x[1] >= 0.5]
+
+
+_FINDER = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
+
+
+def offsets(text: bytes, positions: list[int]) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of the words at these positions, in characters of the text as it is."""
+    if not positions:
+        return []
+    raw = text.decode(errors="replace")
+    low = raw.lower()
+    wanted = set(positions)
+    found = [(m.start(), m.end(), m[0]) for k, m in enumerate(_FINDER.finditer(low)) if k in wanted]
+    if len(low) != len(raw):  # some characters have longer lower-case forms
+        source = np.repeat(np.arange(len(raw)), [len(c.lower()) for c in raw])
+        found = [(int(source[i]), int(source[j - 1]) + 1, w) for i, j, w in found]
+    return found
 
 
 def score_documents(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, n_toxic): one row for each row of df; see the module for what score is.
+    """(doc_id, score, predicted, n_toxic, spans): one row for each row of df; see the module for what score is.
 
-    predicted is 1 from 0.5 on; n_toxic counts words with a marginal of 0.5 or more. A null or empty text scores 0.
-    Repeated rows give repeated rows, a null id stays null, other columns are not read, an empty table stays empty.
+    predicted is 1 from 0.5 on; spans are the character offsets (start, end) of the words with a marginal of 0.5 or more,
+    n_toxic their number. A null or empty text has the score of no words. Repeated rows give repeated rows, a null id
+    stays null, other columns are not read, an empty table stays empty.
     """
     scorer = Scorer(crf)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores, marked = map(list, zip(*map(scorer.judge, as_bytes(batch.column(1))), strict=True))
-        columns = [batch.column(0), scores, [int(s >= 0.5) for s in scores], marked]
-        return batch_of(["doc_id", "score", "predicted", "n_toxic"], columns, [pa.int64(), pa.float64(), pa.int32(), pa.int64()])
+        texts = as_bytes(batch.column(1))
+        scores, words = map(list, zip(*map(scorer.judge, texts), strict=True))
+        spans = [[{"start": a, "end": b} for a, b, _ in offsets(t, [k for k, _ in w])] for t, w in zip(texts, words, strict=True)]
+        columns = [batch.column(0), scores, [int(s >= 0.5) for s in scores], list(map(len, words)), spans]
+        return batch_of(["doc_id", "score", "predicted", "n_toxic", "spans"], columns, [pa.int64(), pa.float64(), pa.int32(), pa.int64(), span])
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, run, "doc_id long, score double, predicted int, n_toxic long")
+    return map_batches(keyed(df, id_col, text_col), run, "doc_id long, score double, predicted int, n_toxic long, spans array<struct<start: long, end: long>>")
 
 
 def toxic_spans(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, word, p): character offsets of every word whose marginal is at least `least`."""
+    """(doc_id, start, end, word, p): character offsets of every word whose marginal is at least `least`, in lower case.
+
+    Null and empty texts have none; repeated rows repeat theirs; a null id stays null; an empty table gives no rows.
+    """
     scorer = Scorer(crf)
-    finder = re.compile(r"[0-9a-z_\u0080-\U0010ffff]+")
     names = ["doc_id", "start", "end", "word", "p"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            wanted = {k: p for k, p in scorer.tag(text)[1] if p >= least}
-            if wanted:
-                raw = text.decode()
-                low = raw.lower()
-                for k, m in enumerate(finder.finditer(low)):
-                    if k in wanted:
-                        exact = len(low) == len(raw)
-                        rows.append((doc_id, m.start() if exact else None, m.end() if exact else None, m[0], wanted[k]))
+            wanted = [(k, p) for k, p in scorer.tag(text)[1] if p >= least]
+            rows += [(doc_id, *where, p) for where, (_, p) in zip(offsets(text, [k for k, _ in wanted]), wanted, strict=True)]
         columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
         return batch_of(names, columns, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()])
 
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, run, "doc_id long, start long, end long, word string, p double")
+    return map_batches(keyed(df, id_col, text_col), run, "doc_id long, start long, end long, word string, p double")
 
 
 def drop_toxic(df: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
-    """df without the rows that the model predicts toxic; all columns as they were."""
+    """df without the rows that the model predicts toxic; all columns as they were, whatever their names.
+
+    Rows with null and empty texts stay unless texts of no words are predicted toxic; repeated rows are judged alike; an
+    empty table stays empty.
+    """
     scorer, at, schema = Scorer(crf), df.columns.index(text_col), df.schema
     bound_batches(df.sparkSession)
 

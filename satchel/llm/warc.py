@@ -1,7 +1,7 @@
 """WARC archives whose records are compressed one by one with a dictionary that the archive carries itself.
 
 An archive is a skippable Zstandard frame that holds the dictionary, then one Zstandard frame for each WARC/1.1 record.
-The dictionary is trained on a bounded sample of the archive's own records, so any archive can be read alone and any
+The dictionary is trained on a bounded sample over all of the archive's own records, or is such a sample itself, so any archive can be read alone and any
 record of it without its neighbours. Archives lie as binary values in a Parquet table, which any store that Spark
 writes can hold; export_archives puts them into a folder as plain files.
 """
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bound_batches, fresh_path
+from .common import batch_of, bound_batches, fresh_name, fresh_path, join_dealt
 
 #: Fixed values of the format: the magic number of the dictionary's frame and the ends of lines.
 DICT_MAGIC = 0x184D2A5D
@@ -48,25 +48,29 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary from a bounded sample of records; empty where they are too few or too small to train on."""
-    sample, size = [], 0
-    for x in records:
-        sample.append(x[: SAMPLE_BYTES - size])
-        size += len(sample[-1])
-        if size >= SAMPLE_BYTES:
-            break
-    if len(sample) < 16 or size < 16 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, size // 8), sample, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    """A dictionary from a bounded sample of records, drawn evenly over all; without records an empty one.
+
+    What is too little to train on (COVER cannot, with few or small records) is a dictionary as it is: raw content.
+    """
+    step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
+    most = max(1, SAMPLE_BYTES // max(1, len(records[::step])))
+    sample = [x[: max(most, 4096)] for x in records[::step]]
+    size = sum(map(len, sample))
+    if len(sample) >= 16 and size >= 16 * 1024:
+        try:
+            return zstandard.train_dictionary(min(DICT_BYTES, size // 8), sample, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:
+            pass  # too alike to train on
+    return b"".join(x[: max(64, DICT_BYTES // len(sample))] for x in sample)[-DICT_BYTES:]
+
+
+def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data, zstandard.DICT_TYPE_AUTO) if len(data) >= 8 else None
 
 
 def write_archive(records: list[bytes], level: int = 3) -> bytes:
     dictionary = train(records)
-    kept = zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_FULLDICT) if dictionary else None
-    packer = zstandard.ZstdCompressor(level=level, dict_data=kept, write_checksum=True, write_content_size=True)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_checksum=True, write_content_size=True)
     return b"".join([struct.pack("<II", DICT_MAGIC, len(dictionary)), dictionary, *map(packer.compress, records)])
 
 
@@ -76,8 +80,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
         raise ArchiveError("no leading dictionary frame")
     at = 8 + struct.unpack_from("<I", data, 4)[0]
     dictionary = data[8:at]
-    kept = zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_FULLDICT) if dictionary else None
-    unpacker = zstandard.ZstdDecompressor(dict_data=kept)
+    unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
     while at < len(data):
         one, parts = unpacker.decompressobj(), []
         while not one.eof:
@@ -107,17 +110,21 @@ def _parse(raw: bytes) -> dict:
 
 
 def mark_revisits(df: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Add payload_digest, payload_bytes and refers_to (the response's id, null for responses) to (id, url, payload).
+    """Add payload_digest, payload_bytes and refers_to (the response's id, null for responses) to df, whose other columns stay.
 
     Of rows with equal payloads of at least min_bytes, those with the largest id are the response. Rows without an id
-    are responses only where no row of their payload has one. A null payload counts as empty.
+    are responses only where no row of their payload has one. A null payload counts as empty. Columns of df with one of
+    the three names are replaced. Copies of one payload are dealt to several tasks; an empty table gives an empty table.
     """
-    rows = df.withColumn(payload_col, F.coalesce(payload_col, F.lit("")))
+    first, n = fresh_name(df, "first"), fresh_name(df, "n")
+    rows = df.drop("payload_digest", "payload_bytes", "refers_to").withColumn(payload_col, F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
     rows = rows.withColumns({"payload_digest": F.sha1(F.encode(payload_col, "UTF-8")), "payload_bytes": F.octet_length(payload_col).cast("long")})
-    copies = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(id_col).alias("_first"), F.count("*").alias("_n"))
-    copies = copies.filter("_n > 1").drop("_n")
-    joined = rows.join(copies, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col(id_col)), F.col("_first"))).drop("_first")
+    total = df.count()
+    copies = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(id_col).alias(first), F.count("*").alias(n))
+    copies = copies.filter(F.col(n) > 1).drop(n)
+    joined = join_dealt(rows, copies, ["payload_digest", "payload_bytes"], F.monotonically_increasing_id(), total, "left")
+    out = joined.withColumn("refers_to", F.when(~F.col(first).eqNullSafe(F.col(id_col)), F.col(first))).drop(first)
+    return out.select(*[c for c in df.columns if c in out.columns], *[c for c in ("payload_digest", "payload_bytes", "refers_to") if c not in df.columns])
 
 
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -178,17 +185,20 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def export_archives(spark: SparkSession, path: str, folder: str) -> None:
-    """Write the archives under path as plain .warc.zst files into a folder that all executors share."""
-    import os
-
-    def put(rows: Iterator) -> None:
-        for x in rows:
-            part = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(part, "wb") as f:
-                f.write(x["data"])
-            os.replace(part, os.path.join(folder, x["archive"]))
+    """Write the archives under path as plain .warc.zst files into a folder of any store that Spark's driver can reach.
 
-    spark.read.parquet(path).select("archive", "data").foreachPartition(put)
+    The driver copies one archive after the other, so no task needs the folder on its own disk; a file appears whole.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(root)
+    for x in spark.read.parquet(path).select("archive", "data").toLocalIterator():
+        part = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}")
+        out = fs.create(part, False)
+        out.write(bytearray(x["data"]))
+        out.close()
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{x['archive']}"))
 
 
 def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None) -> DataFrame:

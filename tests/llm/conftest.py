@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Row
 
 #: Names that operators use inside or give their results: as extra columns of the input they must not matter.
-CLASHING = ("score", "fp", "h", "ka", "length", "piece", "spans", "media", "component_id", "_n", "page_id2")
+CLASHING = ("score", "fp", "h", "ka", "length", "piece", "spans", "media", "component_id", "_n", "page_id2", "_fp", "_RANK", "_key", "_new", "_spans", "run", "rank", "_set", "_row", "_size", "_bins", "_deal", "_deals", "_text", "_t", "_id", "_y", "id", "u", "v", "root", "node", "candidate", "before", "after", "path", "start", "_first", "item_id", "at", "_at", "base")
 
 
 @pytest.fixture(scope="session")

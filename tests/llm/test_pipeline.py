@@ -38,3 +38,10 @@ def test_stages_take_effect(spark, odd, none, tmp_path):
     blank = spark.createDataFrame([], kind)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, blank, str(tmp_path)).count() == 0, name
+    rows = sorted(map(str, odd.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.schema.names == odd.schema.names, name
+        kept = sorted(map(str, out.collect()))
+        assert set(kept) <= set(rows) and len(kept) >= 6, name
+    assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).collect()} == {x.doc_id for x in odd.select("doc_id").collect()}
