@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import fresh_name, fresh_path, join_dealt, release, shared_dir, stored
 
-__all__ = ["as_bytes", "batch_of", "bound_batches", "fresh_name", "fresh_path", "join_dealt", "keyed", "lots", "map_batches", "release", "shared_dir", "stored", "table"]
+__all__ = ["as_bytes", "batch_of", "bound_batches", "fresh_name", "fresh_path", "join_dealt", "keyed", "lots", "map_batches", "release", "shared_dir", "stored", "table", "tidy"]
 
 #: Bytes that one Arrow batch carries into Python at most, but for one longer row.
 BATCH_BYTES = "8m"
@@ -43,6 +44,19 @@ def lots(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives free memory back to the system: it stays, idle, beside the tasks that follow."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return inner
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with one output batch for each input batch."""
     bound_batches(df.sparkSession)
@@ -52,7 +66,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
             if batch.num_rows:
                 yield f(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def batch_of(names: list[str], columns: list, types: list) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, keyed, stored
+from .common import as_bytes, batch_of, bound_batches, keyed, stored, tidy
 
 K1, B = 1.2, 0.75
 #: Part of an item's own score that a passage must reach, and of its shingles and words that must stand in the passage.
@@ -228,9 +228,9 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
             for lo in range(0, len(rows), 100_000):
                 yield batch_of(["p", "w"], list(map(list, zip(*rows[lo : lo + 100_000], strict=True))), [pa.int32(), pa.binary()])
 
-    total = items.select("t").mapInArrow(lengths, "items long, words long, longest long").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
+    total = items.select("t").mapInArrow(tidy(lengths), "items long, words long, longest long").agg(F.sum("items"), F.sum("words"), F.max("longest")).first()
     number = F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int")
-    by_part = items.select(number.alias("p"), "t").mapInArrow(words, "p int, w binary").groupBy("p", "w").agg(F.count("*").alias("n"))
+    by_part = items.select(number.alias("p"), "t").mapInArrow(tidy(words), "p int, w binary").groupBy("p", "w").agg(F.count("*").alias("n"))
     by_part = stored(by_part, "item-words")
     held = stored(by_part.join(by_part.groupBy("w").agg(F.sum("n").alias("_all")), "w").select("p", "w", "_all"), "item-frequencies")
     for k in range(parts):
@@ -258,7 +258,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                     if rows:
                         yield batch_of(names, list(map(list, zip(*rows, strict=True))), types)
 
-        return keyed(df, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, score double, overlap double, first_word long")
+        return keyed(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, item_id long, score double, overlap double, first_word long")
 
     out = None
     for index in indexes(benchmark):
@@ -285,7 +285,7 @@ def drop_leaked(df: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
                             keep[lo + d] = False
                     yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(tidy(run), schema)
 
     for index in indexes(benchmark):
         df = without(df, index)

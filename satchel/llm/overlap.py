@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, fresh_name, join_dealt, lots, release, stored
+from .common import as_bytes, batch_of, bound_batches, fresh_name, join_dealt, lots, release, stored, tidy
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -117,7 +117,7 @@ def marked(df: DataFrame, id_col: str, text_col: str, shingle: int, sketch: Call
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(*x) for x in columns)], names=[*batch.schema.names, group, size, parts, fp])
 
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"))
-    rows = df.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()).withColumn(rank, order)
+    rows = df.mapInArrow(tidy(run), schema).withColumn(row, F.monotonically_increasing_id()).withColumn(rank, order)
     return Marked(stored(rows, "marked"), text_col, group, size, parts, fp, row, rank)
 
 
@@ -158,7 +158,7 @@ def common_shingles(texts: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray,
         if held:
             yield settle()
 
-    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).toArrow()
     values, counts = (top.column(k).to_numpy() for k in ("h", "n"))
     order = np.argsort(values)
@@ -291,8 +291,8 @@ class Rest:
             if held:
                 yield settle(held)
 
-        placed = texts.mapInArrow(place, "key long, deal int, id long").repartition(self.partitions, "key", "deal")
-        return stored(placed.sortWithinPartitions("key", "deal", "id").mapInArrow(_meet, "key long, id long, least long"), "met")
+        placed = texts.mapInArrow(tidy(place), "key long, deal int, id long").repartition(self.partitions, "key", "deal")
+        return stored(placed.sortWithinPartitions("key", "deal", "id").mapInArrow(tidy(_meet), "key long, id long, least long"), "met")
 
     def _both(self, pairs: DataFrame, table: DataFrame, names: list[str], total: int) -> DataFrame:
         """pairs (u, v) with the columns of table (id, ...) for either end, those of v with a 2 behind their names."""
@@ -323,13 +323,13 @@ class Rest:
                 keep = [similar(a[k].values.to_numpy(), b[k].values.to_numpy()) for k in range(batch.num_rows)]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        left = stored(self._both(pairs, self.sets, ["size", "bins"], pairs.count()).mapInArrow(may, "u long, v long"), "possible")
+        left = stored(self._both(pairs, self.sets, ["size", "bins"], pairs.count()).mapInArrow(tidy(may), "u long, v long"), "possible")
         nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
         # Stored first, so that Spark knows whether they are few enough to find their texts without a shuffle of these.
         wanted = stored(self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)), "wanted")
         texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(m.group, m.text)
-        hashes = stored(texts.mapInArrow(hashed, "id long, hashes array<long>"), "hashes")
-        out = stored(self._both(left, hashes, ["hashes"], left.count()).mapInArrow(run, "u long, v long"), "verified")
+        hashes = stored(texts.mapInArrow(tidy(hashed), "id long, hashes array<long>"), "hashes")
+        out = stored(self._both(left, hashes, ["hashes"], left.count()).mapInArrow(tidy(run), "u long, v long"), "verified")
         for x in (pairs, left, wanted, hashes):
             release(x)
         return out
@@ -371,4 +371,4 @@ class Rest:
         rows = rows.withColumn("deal", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))))
         # Texts that share one shingle often share many: what has one hub lies together, so its pairs are told once.
         rows = rows.select("hub", "key", "deal", "root", "main", "id", "size").repartition(self.partitions, "hub", "deal").sortWithinPartitions("hub", "key", "deal", "root")
-        return rows.mapInArrow(_across, "u long, v long").distinct()
+        return rows.mapInArrow(tidy(_across), "u long, v long").distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, bound_batches, fresh_name, keyed, lots, stored
+from .common import batch_of, bound_batches, fresh_name, keyed, lots, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -193,7 +193,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 yield batch_of(names, list(map(list, zip(*rows, strict=True))), types)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return keyed(df, id_col, text_col).mapInArrow(run, schema)
+    return keyed(df, id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 class _Stock:
@@ -345,7 +345,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, runs_of: int = RUN) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *where], names=[*batch.schema.names[:n], "sequence_id", "offset"])
 
     kind = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(put, kind)
+    return ranked.mapInArrow(tidy(put), kind)
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import as_bytes, batch_of, bound_batches, join_dealt, keyed, map_batches, stored
+from .common import as_bytes, batch_of, bound_batches, join_dealt, keyed, map_batches, stored, tidy
 from .components import components
 
 BITS, THRESHOLD, SHINGLE, SEED = 64, 4, 4, 42
@@ -181,7 +181,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -> D
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _compare(batches, threshold)
 
-    placed = fps.select("fp").mapInArrow(place, "key long, fp long, home boolean")
+    placed = fps.select("fp").mapInArrow(tidy(place), "key long, fp long, home boolean")
     sizes = stored(placed.groupBy("key").count().filter(F.col("count") > HOT_ROWS), "hot-anchors")
     if not sizes.isEmpty():
         deals = sizes.select("key", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("deals"))
@@ -190,7 +190,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -> D
         salted = salted.withColumn("deal", F.explode(F.when(F.col("home"), one).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))))
         placed = salted.select(F.when(F.col("deals") == 1, F.col("key")).otherwise(F.xxhash64("key", "deal")).alias("key"), "fp", "home")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    return placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(compare), "u long, v long")
 
 
 def group_fingerprints(fps: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:

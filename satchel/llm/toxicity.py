@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, keyed, map_batches
+from .common import as_bytes, batch_of, bound_batches, keyed, map_batches, tidy
 
 #: Bounds of the training sample: documents of either label, and bytes of one of them.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 40_000
@@ -392,4 +392,4 @@ def drop_toxic(df: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array([scorer.judge(x)[0] < 0.5 for x in as_bytes(batch.column(at))], pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
