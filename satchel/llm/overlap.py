@@ -3,8 +3,8 @@
 Equal sets of shingles count as one. The shingles of a set stand in one order for all sets: those seen often last, then by
 hash. Two sets of n and k shingles that are similar enough share at least 4/9 (n + k) of them, so their first shared
 shingle stands among the first n - ceil(0.8 n) + 1 of either: sets meet at those. Links that are known join sets into
-components, and only pairs of different components are looked at: first every set with the least one at each meeting
-point, then, with what that has joined, all others. A pair is a candidate if its sizes allow the similarity and so do
+components, and only pairs of different components are looked at: first every set with the least one that it meets most
+often, then, with what that has joined, all others. A pair is a candidate if its sizes allow the similarity and so do
 the numbers of its shingles in each of BINS parts of the hash space, which bound what it shares from above. Every
 candidate is verified on the whole sets. Neither the order nor the bound loses a pair.
 """
@@ -339,7 +339,9 @@ class Rest:
         links = self._verified(candidates)
         met = self._met()
         least = met.groupBy("key").agg(F.min("least").alias("_all"))
-        stars = met.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+        # Of each set one pair, with the least one that it meets most often: as many as sets, however many share a passage.
+        often = met.filter("id <> least").groupBy("id", "least").agg(F.count("*").alias("n"))
+        stars = often.groupBy(F.col("id").alias("u")).agg(F.max_by("least", F.struct("n", "least")).alias("v"))
         across = met.select("key", "least").distinct().join(least, "key").filter("least <> _all").select(F.col("least").alias("u"), F.col("_all").alias("v"))
         apart = self._apart(stored(stars.union(across).distinct(), "stars"), stored(components(links), "roots"))
         links = stored(links.union(self._verified(stored(apart, "apart"))), "links")
