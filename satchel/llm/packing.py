@@ -168,7 +168,7 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, lot_bytes: int = LOT_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and end id, cut only where over capacity.
 
     A null or empty text is the end id alone; a null id stays null. Repeated rows are packed as often as they occur. Other
@@ -182,7 +182,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in lots(texts, LOT_BYTES):
+            for lo, hi in lots(texts, lot_bytes):
                 rows: list[tuple] = []
                 for doc_id, got in zip(ids[lo:hi], encoder(tokenizer_path).encode(texts.slice(lo, hi - lo)), strict=True):
                     for piece, start in enumerate(range(0, len(got) + 1, capacity)):
@@ -348,7 +348,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, runs_of: int = RUN) -> Dat
     return ranked.mapInArrow(tidy(put), kind)
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, cut and pack whole documents; see token_pieces and pack."""
-    pieces = stored(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id), "pieces")
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """Tokenise, cut and pack whole documents; see token_pieces and pack. Smaller lots take less memory and more time."""
+    pieces = stored(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id, lot_bytes=lot_bytes), "pieces")
     return pack(pieces, capacity)
