@@ -49,7 +49,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences. A null or empty text is an end id alone, a null id stays
     null, repeated documents are packed as often as they occur, an empty table gives no pieces."""
-    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER), lot_bytes=1 << 20)  # beside what four stages have left
 
 
 STAGES = [
