@@ -162,8 +162,12 @@ class LicenseIndex:
         for k, (_, ids) in enumerate(self.templates + self.phrases):
             self.automaton.add(ids, k)
         self.automaton.settle()
-        first = len(self.templates)
-        self.ends = [[p - first for p, k in places if p >= first and k == len(self.phrases[p - first][1]) - 1] for places in self.automaton.places]
+        # Of each state, the phrases that end where its words end: those that are its longest words, and those of its suffix link.
+        first, auto = len(self.templates), self.automaton
+        self.ends: list[list[int]] = [[] for _ in auto.step]
+        for s in sorted(range(1, len(auto.step)), key=auto.length.__getitem__):
+            own = [p - first for p, k in auto.places[s] if p >= first and k + 1 == len(self.phrases[p - first][1]) == auto.length[s]]
+            self.ends[s] = own + self.ends[auto.link[s]]
         self.shortest = min([len(ids) for _, ids in self.phrases] + [min_match])
         holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
         runs = lambda ids: ((j, tuple(ids[j : j + min_match])) for j in range(len(ids) - min_match + 1))

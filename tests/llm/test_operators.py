@@ -44,6 +44,16 @@ def test_license_places(words):
     assert (found["n_words"], found["base"]) == (n, places)
 
 
+@pytest.mark.parametrize("text", [*(x for texts in licenses.TEMPLATES.values() for x in texts), "the Apache License, the MIT license", "of the GNU General Public License as published", "a license by the CC BY 4.0"])
+def test_license_places_inside_longer_matches(text):
+    assert licenses.LicenseIndex().scan(licenses.words_of(text.encode()))["base"] == brute_base(text)[1]
+
+
+def test_license_phrases_inside_phrases_and_templates():
+    index = licenses.LicenseIndex({"b c": "short", "a b c": "long", "c": "one"}, {"t": ("x a b c y",)}, min_match=2)
+    assert index.scan(b"x a b c y a b c b c".split())["base"] == sorted([(1, "long"), (2, "short"), (3, "one"), (5, "long"), (6, "short"), (7, "one"), (8, "short"), (9, "one")])
+
+
 def test_license_spans_chain_over_gaps():
     index = licenses.LicenseIndex()
     words = licenses.TEMPLATES["bsd"][0].split()
