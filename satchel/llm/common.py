@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import fresh_name, fresh_path, join_dealt, release, shared_dir, stored
 
-__all__ = ["as_bytes", "batch_of", "bound_batches", "fresh_name", "fresh_path", "join_dealt", "keyed", "lots", "map_batches", "release", "shared_dir", "stored", "table", "tidy"]
+__all__ = ["as_bytes", "batch_of", "bound_batches", "fresh_name", "fresh_path", "join_dealt", "kept", "keyed", "lots", "map_batches", "release", "shared_dir", "stored", "table", "tidy", "trim"]
 
 #: Bytes that one Arrow batch carries into Python at most, but for one longer row.
 BATCH_BYTES = "8m"
@@ -44,15 +45,40 @@ def lots(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives free memory back to the system: it stays, idle, beside the tasks that follow."""
+#: What a worker process keeps from task to task.
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make gives, once for each worker process, until this runs a task of another kind (see tidy)."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, in which the worker gives free memory back to the system about once a second and at the end: it stays, idle,
+    beside the tasks that follow. Unless the task `keeps` them, things that were kept for other tasks go first."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        if not keeps:
+            _KEPT.clear()
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() > last + 1:
+                del out
+                trim()
+                last = time.monotonic()
+        trim()
 
     return inner
 

@@ -17,7 +17,6 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, bound_batches, fresh_name, keyed, lots, stored, tidy
+from .common import batch_of, bound_batches, fresh_name, kept, keyed, lots, stored, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -132,9 +131,12 @@ class TextEncoder:
         ids, sizes = self._of_words(plain)
         each = self._each([w[0] for w in odd])
         ids, sizes = np.concatenate([self.ids, ids, *each]), np.r_[self.sizes, sizes, [len(x) for x in each]].astype(np.int64)
-        known = known | {w: k for k, w in enumerate(chain(plain, odd), len(known))}
-        if len(known) <= WORDS_KEPT:
-            self.known, self.ids, self.sizes = known, ids, sizes
+        places = zip(chain(plain, odd), range(len(known), len(known) + len(fresh)), strict=True)
+        if len(known) + len(fresh) <= WORDS_KEPT:
+            known.update(places)
+            self.ids, self.sizes = ids, sizes
+        else:
+            known = known | dict(places)
         used = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         total = np.cumsum(sizes[used])
         pool = ids[_ranges((np.cumsum(sizes) - sizes)[used], sizes[used])]
@@ -162,10 +164,9 @@ class TextEncoder:
             yield self._each([texts[k].as_py()])[0] if whole[k] else ids[stops[offsets[k]] : stops[offsets[k + 1]]]
 
 
-@cache
 def encoder(path: str) -> TextEncoder:
     """One for each worker process, kept from task to task."""
-    return TextEncoder(path)
+    return kept(("encoder", path), lambda: TextEncoder(path))
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, lot_bytes: int = LOT_BYTES) -> DataFrame:
@@ -193,7 +194,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 yield batch_of(names, list(map(list, zip(*rows, strict=True))), types)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return keyed(df, id_col, text_col).mapInArrow(tidy(run), schema)
+    return keyed(df, id_col, text_col).mapInArrow(tidy(run, keeps=True), schema)
 
 
 class _Stock:

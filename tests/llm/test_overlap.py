@@ -80,3 +80,25 @@ def test_meeting_points_of_any_batches():
     for size in (1, 2, 5, 1000):
         batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + size], strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["key", "deal", "id"]) for lo in range(0, len(rows), size)]
         assert sorted(x for b in overlap._meet(batches) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+
+
+def test_parities_lose_no_similar_pair_and_part_others():
+    r = np.random.default_rng(6)
+    near, far = [], []
+    for n in (1, 5, 40, 300, 1000, 60_000):
+        for _ in range(20):
+            a = np.unique(r.integers(-(1 << 63), 1 << 63, n))
+            changed = r.integers(0, n // 9 + 1)
+            near.append((a, np.unique(np.r_[a[changed:], r.integers(-(1 << 63), 1 << 63, changed)])))
+            far.append((a, np.unique(r.integers(-(1 << 63), 1 << 63, n))))
+    one_part = r.integers(0, 1 << 50, 400)  # more in one part than are counted
+    near.append((np.unique(one_part), np.unique(one_part[20:])))
+    for pairs in (near, far):
+        sizes = [np.array([len(p[k]) for p in pairs]) for k in (0, 1)]
+        odd = [list(overlap.parities(np.array([np.frombuffer(overlap.bins(p[k]), np.uint8) for p in pairs])).T) for k in (0, 1)]
+        may, are = overlap.near_parities(*sizes, *odd), np.array([overlap.similar(*p) for p in pairs])
+        assert (may | ~are).all()
+        if pairs is far:
+            assert not may[(sizes[0] >= 40) & (sizes[0] <= 300)].any()
+        else:
+            assert are.all()
