@@ -8,6 +8,9 @@ often, then, with what that has joined, all others. A pair is a candidate if its
 the numbers of its shingles in each of BINS parts of the hash space, which bound what it shares from above. Where sets
 meet, the parities of these numbers tell most of this already: each part in which they differ holds a shingle of one set
 alone. Every candidate is verified on the whole sets. Neither the order nor the bounds lose a pair.
+
+Pairs are looked at in cells: what meets at one place, or about one set, lies together, and what a set is known by comes
+to a cell once for all of its pairs there, not once for each pair.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import HOT_KEYS
 from .common import as_bytes, batch_of, bound_batches, fresh_name, join_dealt, lots, release, stored, tidy
 from .components import components
 
@@ -35,6 +39,8 @@ MEETING, BINS, MOST = 2000, 256, 255
 LOT_BYTES = 1 << 20
 #: Pairs that a task holds before it drops those that it has twice.
 HELD = 1 << 20
+#: Pairs of a cell: about a quarter of a task's, within these bounds; larger cells are cut into squares.
+CELL = (100, 512)
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -218,20 +224,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of sets of like sizes and parities from rows (hub, key, deal, root, main, id, size, parities) sorted by hub, key, deal and root.
+    """Pairs (u, v, hub) of sets of like sizes and parities from rows (hub, key, deal, root, main, id, size, parities) sorted by hub, key, deal and root.
 
     Of each group of one key and deal, pairs of different roots; those without the main root are given by deal 0 alone.
     """
     found: list[np.ndarray] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        once = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        once = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
         found.clear()
         for k in range(0, once.shape[1], 50_000):
-            yield batch_of(["u", "v"], [pa.array(once[0, k : k + 50_000]), pa.array(once[1, k : k + 50_000])], [pa.int64(), pa.int64()])
+            yield batch_of(["u", "v", "hub"], [pa.array(x[k : k + 50_000]) for x in once], [pa.int64()] * 3)
 
     def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, deal, root, main, ids, size, *odd = x
+        hub, key, deal, root, main, ids, size, *odd = x
         new = np.r_[True, (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])]
         stop = np.r_[np.flatnonzero(new)[1:], len(key)][np.cumsum(new) - 1]
         other = np.r_[True, new[1:] | (root[1:] != root[:-1])]
@@ -249,7 +255,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = left[ok], right[ok]
             ok = near_parities(size[left], size[right], [p[left] for p in odd], [p[right] for p in odd])
             u, v = ids[left[ok]], ids[right[ok]]
-            found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1))
+            found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), hub[left[ok]]]), axis=1))
             if sum(y.shape[1] for y in found) > HELD:
                 found[:] = [np.unique(np.concatenate(found, axis=1), axis=1)]
                 if found[0].shape[1] > HELD // 2:
@@ -260,10 +266,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7 + len(PARITIES))])
-        if (held[0][0][0], held[0][1][0]) != (held[-1][0][-1], held[-1][1][-1]):
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(7 + len(PARITIES))])
+        if (held[0][1][0], held[0][2][0]) != (held[-1][1][-1], held[-1][2][-1]):
             joined = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.flatnonzero((joined[0] != joined[0][-1]) | (joined[1] != joined[1][-1]))[-1]) + 1
+            cut = int(np.flatnonzero((joined[1] != joined[1][-1]) | (joined[2] != joined[2][-1]))[-1]) + 1
             yield from pairs([x[:cut] for x in joined])
             held = [[x[cut:] for x in joined]]
     if held:
@@ -311,22 +317,55 @@ class Rest:
         placed = texts.mapInArrow(tidy(place), "key long, deal int, id long").repartition(self.partitions, "key", "deal")
         return stored(placed.sortWithinPartitions("key", "deal", "id").mapInArrow(tidy(_meet), "key long, id long, least long"), "met")
 
-    def _both(self, pairs: DataFrame, table: DataFrame, names: list[str], total: int) -> DataFrame:
-        """pairs (u, v) with the columns of table (id, ...) for either end, those of v with a 2 behind their names."""
-        one = table.select(F.col("id").alias("u"), *names)
-        other = table.select(F.col("id").alias("v"), *[F.col(x).alias(f"{x}2") for x in names])
-        out = join_dealt(join_dealt(pairs, one, ["u"], F.col("v"), total), other, ["v"], F.col("u"), total)
-        return out.select("u", "v", *names, *[f"{x}2" for x in names])
+    def _at_cells(self, pairs: DataFrame, table: DataFrame, names: list[str], test: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """The pairs (u, v, cell) of a stored table that the test passes, by columns `names` of table (id, ...).
+
+        test takes rows of table and, for each pair, the places of its two sets there.
+        """
+        total = pairs.count()
+        most = max(min(max(CELL[0], total // (4 * self.partitions)), CELL[1]), total // HOT_KEYS)
+        large = pairs.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("cell", F.ceil(F.sqrt(F.col("n") / most)).cast("long").alias("side"))
+        side = F.coalesce("side", F.lit(1).cast("long"))
+        at = F.xxhash64("cell", F.pmod(F.xxhash64("u"), side), F.pmod(F.xxhash64("v"), side))
+        placed = pairs.join(F.broadcast(large), "cell", "left").select(at.alias("at"), "u", "v", "cell")
+        needs = stored(placed.select("at", F.col("u").alias("id")).union(placed.select("at", "v")).distinct(), "needs")
+        known = join_dealt(needs, table.select("id", *names), ["id"], F.col("at"), needs.count())
+        none = F.lit(None).cast("long")
+        rows = known.select("at", F.lit(False).alias("pair"), F.col("id").alias("u"), none.alias("v"), none.alias("cell"), *names)
+        rows = rows.union(placed.select("at", F.lit(True), "u", "v", "cell", *[F.lit(None).cast(table.schema[x].dataType) for x in names]))
+
+        def settle(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            pair = whole.column("pair").to_numpy()
+            own, asked = whole.filter(pa.array(~pair)), whole.filter(pa.array(pair))
+            place = {x: k for k, x in enumerate(zip(own.column("at").to_pylist(), own.column("u").to_pylist(), strict=True))}
+            cells = asked.column("at").to_pylist()
+            u, v = (np.array([place[x] for x in zip(cells, asked.column(end).to_pylist(), strict=True)], int) for end in ("u", "v"))
+            yield from asked.select(["u", "v", "cell"]).filter(pa.array(test(own, u, v), pa.bool_())).combine_chunks().to_batches()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                cells = batch.column(0).to_numpy()
+                if held[0].column(0)[0].as_py() != cells[-1]:
+                    cut = sum(x.num_rows for x in held[:-1]) + int(np.r_[-1, np.flatnonzero(cells != cells[-1])][-1]) + 1
+                    whole = pa.Table.from_batches(held)
+                    yield from settle(whole.slice(0, cut))
+                    held = whole.slice(cut).to_batches()
+            if held:
+                yield from settle(pa.Table.from_batches(held))
+
+        return rows.repartition(self.partitions, "at").sortWithinPartitions("at", "pair").mapInArrow(tidy(run), "u long, v long, cell long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of a stored table whose sets are similar, stored: first by sizes and bins, then by the sets."""
+        """The pairs (u, v) of a stored table (u, v, cell) whose sets are similar, stored: first by sizes and bins, then by the sets."""
         shingle, m = self.shingle, self.marked
 
-        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    size, size2 = (batch.column(k).to_numpy() for k in (2, 4))
-                    yield batch.select([0, 1]).filter(pa.array(possible(size, size2, _bins_of(batch.column(3)), _bins_of(batch.column(5)))))
+        def may(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            size, parts = sets.column("size").to_numpy(), _bins_of(sets.column("bins"))
+            return possible(size[u], size[v], parts[u], parts[v])
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -334,26 +373,25 @@ class Rest:
                     batch = whole.slice(lo, hi - lo)
                     yield batch_of(["id", "hashes"], [batch.column(0), [shingles(x, shingle) for x in as_bytes(batch.column(1))]], [pa.int64(), pa.list_(pa.int64())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = batch.column(2), batch.column(3)
-                keep = [similar(a[k].values.to_numpy(), b[k].values.to_numpy()) for k in range(batch.num_rows)]
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        def same(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            hashes = [x.values.to_numpy() for x in sets.column("hashes")]
+            return np.array([similar(hashes[a], hashes[b]) for a, b in zip(u, v, strict=True)], bool)
 
-        left = stored(self._both(pairs, self.sets, ["size", "bins"], pairs.count()).mapInArrow(tidy(may), "u long, v long"), "possible")
+        left = stored(self._at_cells(pairs, self.sets, ["size", "bins"], may), "possible")
         nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
         # Stored first, so that Spark knows whether they are few enough to find their texts without a shuffle of these.
         wanted = stored(self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)), "wanted")
-        texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(m.group, m.text)
+        texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(F.col(m.group).alias("id"), m.text)
         hashes = stored(texts.mapInArrow(tidy(hashed), "id long, hashes array<long>"), "hashes")
-        out = stored(self._both(left, hashes, ["hashes"], left.count()).mapInArrow(tidy(run), "u long, v long"), "verified")
+        out = stored(self._at_cells(left, hashes, ["hashes"], same).select("u", "v"), "verified")
         for x in (pairs, left, wanted, hashes):
             release(x)
         return out
 
     def components(self, candidates: DataFrame) -> DataFrame:
         """(node, root) of all sets that are similar to another, directly or by steps; candidates (u, v) are tried first."""
-        links = self._verified(candidates)
+        links = self._verified(stored(candidates.select("u", "v", F.col("v").alias("cell")), "tried"))
+        release(candidates)
         met = self._met()
         least = met.groupBy("key").agg(F.min("least").alias("_all"))
         # Of each set one pair, with the least one that it meets most often: as many as sets, however many share a passage.
@@ -370,11 +408,11 @@ class Rest:
         return out
 
     def _apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs (u, v) that no component joins."""
+        """The pairs (u, v) that no component joins, in the cells of v."""
         total = pairs.count()
         out = join_dealt(pairs, roots.select(F.col("node").alias("u"), F.col("root").alias("_a")), ["u"], F.col("v"), total, "left")
         out = join_dealt(out, roots.select(F.col("node").alias("v"), F.col("root").alias("_b")), ["v"], F.col("u"), total, "left")
-        return out.filter("coalesce(_a, u) <> coalesce(_b, v)").select("u", "v")
+        return out.filter("coalesce(_a, u) <> coalesce(_b, v)").select("u", "v", F.col("v").alias("cell"))
 
     def _odd(self) -> DataFrame:
         """(id, size, parities) of all sets."""
@@ -388,7 +426,7 @@ class Rest:
         return self.sets.select("id", "size", "bins").mapInArrow(tidy(run), f"id long, size long, {', '.join(f'{p} long' for p in PARITIES)}")
 
     def _pairs(self, met: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidates (u, v), u < v, of different components that share a meeting point."""
+        """Candidates (u, v, cell), u < v, of different components that share a meeting point."""
         total = met.count()
         rooted = join_dealt(met.select("key", "id", "least"), roots.withColumnRenamed("node", "id"), ["id"], F.col("key"), total, "left")
         rooted = stored(rooted.withColumn("root", F.coalesce("root", "id")), "rooted")
@@ -401,4 +439,4 @@ class Rest:
         rows = rows.withColumn("deal", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))))
         # Texts that share one shingle often share many: what has one hub lies together, so its pairs are told once.
         rows = rows.select("hub", "key", "deal", "root", "main", "id", "size", *PARITIES).repartition(self.partitions, "hub", "deal").sortWithinPartitions("hub", "key", "deal", "root")
-        return rows.mapInArrow(tidy(_across), "u long, v long").distinct()
+        return rows.mapInArrow(tidy(_across), "u long, v long, hub long").groupBy("u", "v").agg(F.min("hub").alias("cell"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, bound_batches, keyed, map_batches, tidy
+from .common import as_bytes, batch_of, bound_batches, keyed, map_batches, tidy, trim
 
 #: Bounds of the training sample: documents of either label, and bytes of one of them.
 TRAIN_DOCS, TRAIN_BYTES = 1500, 40_000
@@ -290,7 +290,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = spark.createDataFrame([(x,) for x in ids], "_id long").join(known, "_id")
     rows = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_y").agg(F.max("_t").alias("_t")).collect()
     groups = {y: [r["_t"].encode() for r in sorted(rows, key=lambda r: r["_id"]) if r["_y"] == y] for y in (0, 1)}
-    return fit(groups[1], groups[0], tuple(counts.get(y, 0) / max(1, len(groups[y])) for y in (1, 0)))
+    del rows
+    crf = fit(groups[1], groups[0], tuple(counts.get(y, 0) / max(1, len(groups[y])) for y in (1, 0)))
+    del groups
+    trim()  # what the driver held for fitting
+    return crf
 
 
 class Scorer:

@@ -1,5 +1,6 @@
 """The near-duplicate stage against the similarity of all pairs."""
 
+import itertools
 import random
 
 import numpy as np
@@ -102,3 +103,31 @@ def test_parities_lose_no_similar_pair_and_part_others():
             assert not may[(sizes[0] >= 40) & (sizes[0] <= 300)].any()
         else:
             assert are.all()
+
+
+@pytest.mark.parametrize("cell", [(1, 3), (100, 512)])
+def test_sets_come_to_a_cell_once_for_all_of_its_pairs(spark, tmp_path, monkeypatch, cell):
+    monkeypatch.setattr(overlap, "CELL", cell)
+    monkeypatch.setattr(overlap, "HOT_KEYS", 10**9)
+    ids = list(range(-30, 30))
+    sets = overlap.stored(spark.createDataFrame([(i, [i, i + 1]) for i in ids], "id long, hashes array<long>"), "sets")
+    every = [(u, v, (u + v) % 2) for u, v in itertools.combinations(ids, 2)]
+    pairs = overlap.stored(spark.createDataFrame(every, "u long, v long, cell long").repartition(3), "pairs")
+    brought, stored = [], overlap.stored
+    monkeypatch.setattr(overlap, "stored", lambda df, name: brought.append((name, stored(df, name))) or brought[-1][1])
+    rest = object.__new__(overlap.Rest)
+    rest.partitions = 2
+
+    def test(known, u, v):
+        first = [x[0].as_py() for x in known.column("hashes")]
+        return np.array([(first[a] * first[b]) % 3 == 1 for a, b in zip(u, v, strict=True)], bool)
+
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in rest._at_cells(pairs, sets, ["hashes"], test).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
+    assert sorted(got) == sorted(x for x in every if (x[0] * x[1]) % 3 == 1)
+    n = sum(df.count() for name, df in brought if name == "needs")
+    assert n <= (2 * len(every) if cell[1] == 3 else len(every) / 2)
