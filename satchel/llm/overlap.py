@@ -3,9 +3,11 @@
 Equal sets of shingles count as one. The shingles of a set stand in one order for all sets: those seen often last, then by
 hash. Two sets of n and k shingles that are similar enough share at least 4/9 (n + k) of them, so their first shared
 shingle stands among the first n - ceil(0.8 n) + 1 of either: sets meet at those. Links that are known join sets into
-components, and only pairs of different components are looked at: first every set with the least one that it meets most
-often, then, with what that has joined, all others. A pair is a candidate if its sizes allow the similarity and so do
-the numbers of its shingles in each of BINS parts of the hash space, which bound what it shares from above. Where sets
+components, and only pairs of different components are looked at: first every set with the head that it meets most
+often, then, with what that has joined, all others. The head of what meets at one place is the set that holds most shingles
+seen often: near copies of one text differ from it less than from each other, and in shingles of their own, so it is that text. A pair is a candidate if its sizes allow the similarity and so do
+the numbers of its shingles in each of BINS parts of the hash space, then of as many parts as it has shingles, which bound what
+it shares from above. Where sets
 meet, the parities of these numbers tell most of this already: each part in which they differ holds a shingle of one set
 alone. Every candidate is verified on the whole sets. Neither the order nor the bounds lose a pair.
 
@@ -85,6 +87,21 @@ def possible(size_a: np.ndarray, size_b: np.ndarray, bins_a: np.ndarray, bins_b:
     return ok & of_a_size(size_a, size_b)
 
 
+def fine(hashes: np.ndarray) -> bytes:
+    """As bins, in about as many parts as there are hashes: an eighth of their bytes."""
+    bits = max(1, len(hashes).bit_length() - 1)
+    return np.minimum(np.bincount(hashes.view(np.uint64) >> np.uint64(64 - bits), minlength=1 << bits), MOST).astype(np.uint8).tobytes()
+
+
+def near_fine(a: bytes, b: bytes) -> bool:
+    """Whether two sets may have the similarity, by the most that they can share in each part; MOST or more is any number."""
+    x, y = sorted((np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b)), key=len)
+    if max(x.max(), y.max()) == MOST:
+        return True
+    y = y.reshape(len(x), -1).sum(axis=1)
+    return bool(9 * np.minimum(x, y).sum() >= 4 * (x.sum() + y.sum()))
+
+
 def of_a_size(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
 
@@ -197,7 +214,8 @@ def prefix(hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, deal, id) sorted so: those of keys that are dealt or that several sets hold, with the least id that is there.
+    """Rows (key, deal, id) sorted by key and deal, equal ids together: those of keys that are dealt or that several sets hold,
+    with the first id that is there as the least.
 
     Nothing is held but the last row.
     """
@@ -289,7 +307,8 @@ class Rest:
     def _met(self) -> DataFrame:
         """(key, id, least): sets at their meeting points, those that meet no other left out; least is one of the ids there.
 
-        A shingle that many sets hold is dealt to several groups, each with a least id of its own.
+        It is that of the set with most shingles seen often among its first ones, of several the least. A shingle that many
+        sets hold is dealt to several groups, each with one of its own.
         """
         texts = self.marked.rows.select(self.marked.group, self.marked.text)
         values, counts = common_shingles(texts, self.shingle)
@@ -302,7 +321,8 @@ class Rest:
                 deals = np.maximum(1, weights // MEETING)
                 mixed = (ids.view(np.uint64) >> np.uint64(20)).astype(np.int64)
                 deal = np.where(deals > 1, mixed % deals, -1).astype(np.int32)
-                return batch_of(["key", "deal", "id"], [pa.array(keys), pa.array(deal), pa.array(ids)], [pa.int64(), pa.int32(), pa.int64()])
+                often = np.repeat(np.array([np.count_nonzero(w) for *_, w in rows], np.int32), [len(k) for _, k, _ in rows])
+                return batch_of(["key", "deal", "often", "id"], [pa.array(keys), pa.array(deal), pa.array(often), pa.array(ids)], [pa.int64(), pa.int32(), pa.int32(), pa.int64()])
 
             held, size = [], 0
             for k, hashes in _sets_of(batches, shingle):
@@ -314,20 +334,21 @@ class Rest:
             if held:
                 yield settle(held)
 
-        placed = texts.mapInArrow(tidy(place), "key long, deal int, id long").repartition(self.partitions, "key", "deal")
-        return stored(placed.sortWithinPartitions("key", "deal", "id").mapInArrow(tidy(_meet), "key long, id long, least long"), "met")
+        placed = texts.mapInArrow(tidy(place), "key long, deal int, often int, id long").repartition(self.partitions, "key", "deal")
+        headed = placed.sortWithinPartitions("key", "deal", F.desc("often"), "id").select("key", "deal", "id")
+        return stored(headed.mapInArrow(tidy(_meet), "key long, id long, least long"), "met")
 
     def _at_cells(self, pairs: DataFrame, table: DataFrame, names: list[str], test: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
         """The pairs (u, v, cell) of a stored table that the test passes, by columns `names` of table (id, ...).
 
-        test takes rows of table and, for each pair, the places of its two sets there.
+        test takes rows of table and, for each pair, the places of its two sets there. What the result reads is in its `read`.
         """
         total = pairs.count()
         most = max(min(max(CELL[0], total // (4 * self.partitions)), CELL[1]), total // HOT_KEYS)
         large = pairs.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("cell", F.ceil(F.sqrt(F.col("n") / most)).cast("long").alias("side"))
         side = F.coalesce("side", F.lit(1).cast("long"))
         at = F.xxhash64("cell", F.pmod(F.xxhash64("u"), side), F.pmod(F.xxhash64("v"), side))
-        placed = pairs.join(F.broadcast(large), "cell", "left").select(at.alias("at"), "u", "v", "cell")
+        placed = stored(pairs.join(F.broadcast(large), "cell", "left").select(at.alias("at"), "u", "v", "cell"), "placed")
         needs = stored(placed.select("at", F.col("u").alias("id")).union(placed.select("at", "v")).distinct(), "needs")
         known = join_dealt(needs, table.select("id", *names), ["id"], F.col("at"), needs.count())
         none = F.lit(None).cast("long")
@@ -357,10 +378,12 @@ class Rest:
             if held:
                 yield from settle(pa.Table.from_batches(held))
 
-        return rows.repartition(self.partitions, "at").sortWithinPartitions("at", "pair").mapInArrow(tidy(run), "u long, v long, cell long")
+        out = rows.repartition(self.partitions, "at").sortWithinPartitions("at", "pair").mapInArrow(tidy(run), "u long, v long, cell long")
+        out.read = (placed, needs)
+        return out
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) of a stored table (u, v, cell) whose sets are similar, stored: first by sizes and bins, then by the sets."""
+        """The pairs (u, v) of a stored table (u, v, cell) whose sets are similar, stored: first by sizes and bins, then by finer bins, then by the sets."""
         shingle, m = self.shingle, self.marked
 
         def may(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -371,20 +394,29 @@ class Rest:
             for whole in batches:
                 for lo, hi in lots(whole.column(1), LOT_BYTES):
                     batch = whole.slice(lo, hi - lo)
-                    yield batch_of(["id", "hashes"], [batch.column(0), [shingles(x, shingle) for x in as_bytes(batch.column(1))]], [pa.int64(), pa.list_(pa.int64())])
+                    sets = [shingles(x, shingle) for x in as_bytes(batch.column(1))]
+                    yield batch_of(["id", "fine", "hashes"], [batch.column(0), [fine(x) for x in sets], sets], [pa.int64(), pa.binary(), pa.list_(pa.int64())])
+
+        def close(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            parts = sets.column("fine").to_pylist()
+            return np.array([near_fine(parts[a], parts[b]) for a, b in zip(u, v, strict=True)], bool)
 
         def same(sets: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             hashes = [x.values.to_numpy() for x in sets.column("hashes")]
             return np.array([similar(hashes[a], hashes[b]) for a, b in zip(u, v, strict=True)], bool)
 
-        left = stored(self._at_cells(pairs, self.sets, ["size", "bins"], may), "possible")
+        first = self._at_cells(pairs, self.sets, ["size", "bins"], may)
+        left = stored(first, "possible")
         nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
         # Stored first, so that Spark knows whether they are few enough to find their texts without a shuffle of these.
         wanted = stored(self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)), "wanted")
         texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(F.col(m.group).alias("id"), m.text)
-        hashes = stored(texts.mapInArrow(tidy(hashed), "id long, hashes array<long>"), "hashes")
-        out = stored(self._at_cells(left, hashes, ["hashes"], same).select("u", "v"), "verified")
-        for x in (pairs, left, wanted, hashes):
+        hashes = stored(texts.mapInArrow(tidy(hashed), "id long, fine binary, hashes array<long>"), "hashes")
+        second = self._at_cells(left, hashes, ["fine"], close)
+        few = stored(second, "close")
+        last = self._at_cells(few, hashes, ["hashes"], same)
+        out = stored(last.select("u", "v"), "verified")
+        for x in (pairs, left, few, wanted, hashes, *first.read, *second.read, *last.read):
             release(x)
         return out
 
@@ -394,7 +426,7 @@ class Rest:
         release(candidates)
         met = self._met()
         least = met.groupBy("key").agg(F.min("least").alias("_all"))
-        # Of each set one pair, with the least one that it meets most often: as many as sets, however many share a passage.
+        # Of each set one pair, with the head that it meets most often: as many as sets, however many share a passage.
         often = met.filter("id <> least").groupBy("id", "least").agg(F.count("*").alias("n"))
         stars = often.groupBy(F.col("id").alias("u")).agg(F.max_by("least", F.struct("n", "least")).alias("v"))
         across = met.select("key", "least").distinct().join(least, "key").filter("least <> _all").select(F.col("least").alias("u"), F.col("_all").alias("v"))

@@ -105,6 +105,39 @@ def test_parities_lose_no_similar_pair_and_part_others():
             assert are.all()
 
 
+def test_fine_bins_lose_no_similar_pair_and_part_others():
+    r = np.random.default_rng(7)
+    for n in (1, 2, 5, 40, 300, 1023, 1024, 5000, 20_000):
+        a = np.unique(r.integers(-(1 << 63), 1 << 63, n))
+        for changed in {0, n // 18, n // 9}:
+            b = np.unique(np.r_[a[changed:], r.integers(-(1 << 63), 1 << 63, changed)])
+            assert overlap.similar(a, b) and overlap.near_fine(overlap.fine(a), overlap.fine(b))
+        shorter = np.unique(r.choice(a, -(-4 * n // 5), replace=False))
+        assert overlap.similar(a, shorter) and overlap.near_fine(overlap.fine(shorter), overlap.fine(a))
+        b = np.unique(np.r_[a[: n // 2], r.integers(-(1 << 63), 1 << 63, n - n // 2)])
+        assert n < 40 or not overlap.near_fine(overlap.fine(a), overlap.fine(b))
+    near = r.integers(0, 1 << 40, 5000)  # more in one part than are counted
+    assert overlap.near_fine(overlap.fine(np.unique(near)), overlap.fine(np.unique(near[100:])))
+
+
+def test_pairs_of_a_family_grow_as_its_copies(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    made = []
+    stored = overlap.stored
+    monkeypatch.setattr(overlap, "stored", lambda df, name: made.append((name, stored(df, name).count())) or stored(df, name))
+    base = prose(r, 200).split()
+    texts = [" ".join(base)]
+    for k in range(60):  # close to the text itself, too far from each other
+        words = list(base)
+        for at in r.sample(range(0, 200, 8), 4):
+            words[at] = f"copy{k}at{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert kept == brute_kept(list(enumerate(texts))) == {0}
+    assert sum(n for name, n in made if name == "pairs") <= 3 * len(texts)
+
+
 @pytest.mark.parametrize("cell", [(1, 3), (100, 512)])
 def test_sets_come_to_a_cell_once_for_all_of_its_pairs(spark, tmp_path, monkeypatch, cell):
     monkeypatch.setattr(overlap, "CELL", cell)
