@@ -159,6 +159,19 @@ def marked(df: DataFrame, id_col: str, text_col: str, shingle: int, sketch: Call
     return Marked(stored(rows, "marked"), text_col, group, size, parts, fp, row, rank)
 
 
+def picked(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number is among those of wanted (row), where they lie: 64 numbers are the bits of one broadcast word.
+
+    What the result reads besides rows is in its `read`.
+    """
+    block, word = fresh_name(rows, "block"), fresh_name(rows, "word")
+    bit = f"cast(`{row}` & 63 as int)"
+    bits = stored(wanted.groupBy(F.shiftright(row, 6).alias(block)).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(word)), "bits")
+    out = rows.withColumn(block, F.shiftright(row, 6)).join(F.broadcast(bits), block).filter(F.expr(f"getbit(`{word}`, {bit}) = 1")).drop(block, word)
+    out.read = (bits,)
+    return out
+
+
 def one_a_set(m: Marked) -> DataFrame:
     """(id, rank, row, fp, size, bins): one row for each different set, of the row of the least rank that has it; stored."""
     first = F.min(F.struct(m.rank, m.row)).alias("first")
@@ -408,15 +421,14 @@ class Rest:
         first = self._at_cells(pairs, self.sets, ["size", "bins"], may)
         left = stored(first, "possible")
         nodes = left.select(F.col("u").alias("id")).union(left.select("v")).distinct()
-        # Stored first, so that Spark knows whether they are few enough to find their texts without a shuffle of these.
-        wanted = stored(self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)), "wanted")
-        texts = m.rows.select(m.group, m.text, m.row).join(wanted, m.row, "left_semi").select(F.col(m.group).alias("id"), m.text)
+        found = picked(m.rows.select(m.group, m.text, m.row), m.row, self.sets.join(nodes, "id", "left_semi").select(F.col("row").alias(m.row)))
+        texts = found.select(F.col(m.group).alias("id"), m.text)
         hashes = stored(texts.mapInArrow(tidy(hashed), "id long, fine binary, hashes array<long>"), "hashes")
         second = self._at_cells(left, hashes, ["fine"], close)
         few = stored(second, "close")
         last = self._at_cells(few, hashes, ["hashes"], same)
         out = stored(last.select("u", "v"), "verified")
-        for x in (pairs, left, few, wanted, hashes, *first.read, *second.read, *last.read):
+        for x in (pairs, left, few, hashes, *found.read, *first.read, *second.read, *last.read):
             release(x)
         return out
 

@@ -239,4 +239,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     roots = overlap.Rest(marked, sets, shingle).components(candidates)
     rooted = sets.select("id", "rank", "row").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = rooted.groupBy("root").agg(F.min(F.struct("rank", "row")).alias("best")).select(F.col("best.row").alias(marked.row))
-    return marked.rows.join(stored(best, "best"), marked.row, "left_semi").select(*df.columns)
+    return overlap.picked(marked.rows, marked.row, best).select(*df.columns)

@@ -120,6 +120,15 @@ def test_fine_bins_lose_no_similar_pair_and_part_others():
     assert overlap.near_fine(overlap.fine(np.unique(near)), overlap.fine(np.unique(near[100:])))
 
 
+def test_rows_are_picked_where_they_lie(spark, monkeypatch):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id + (id % 3 << 33) as _row", "'text' as _block")
+    want = [r[0] for r in rows.select("_row").collect() if r[0] % 5 == 0 or r[0] % 64 in (0, 63)]
+    monkeypatch.setattr(overlap, "stored", lambda df, name: spark.createDataFrame(df.collect(), df.schema))
+    got = overlap.picked(rows, "_row", spark.createDataFrame([(x,) for x in want + want[:9]], "_row long"))
+    assert sorted(r[0] for r in got.collect()) == sorted(want) and got.columns == rows.columns
+    assert "hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
 def test_pairs_of_a_family_grow_as_its_copies(spark, tmp_path, monkeypatch):
     r = random.Random(5)
     made = []
